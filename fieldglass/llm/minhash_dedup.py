@@ -5,7 +5,10 @@ form a class. Each class is posted under every (coordinate, value) of its signat
 sets at the threshold share MIN_MATCHES of COORDINATES coordinates all but surely, so each
 class keeps only the prefix of its COORDINATES - MIN_MATCHES + 1 rarest postings: pairs with
 enough matches meet in it, and very common postings are skipped. Postings whose members are
-known to be connected are skipped too. What is left is confirmed on the full sets.
+known to be connected are skipped too. A second pass over the classes that have postings left
+counts, behind a count-min sketch, the shingles of each that no other of them has: those
+bound its similarity to anything from above. What the bound admits is confirmed on the full
+sets.
 """
 
 from __future__ import annotations
@@ -15,9 +18,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fieldglass.llm import sketch
 from fieldglass.llm.common import WordHashes, mix, multipliers, short_batches, stage, windows
 from fieldglass.llm.components import connected_components
 
@@ -71,6 +75,29 @@ def postings(classes: DataFrame) -> DataFrame:
     return ranked.where(F.col("k") + COORDINATES - F.col("of") <= COORDINATES - MIN_MATCHES + 1).select("token", "node")
 
 
+def shared_shingles(texts: DataFrame, width: int) -> DataFrame:
+    """node, n, common: the size of the set and how many of its shingles other nodes may have.
+
+    The sketch counts from above, so a shingle it has seen once is alone for certain, and
+    common is never too small.
+    """
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
+        yield from sketch.partial(shingles(t, hashes, width) for b in batches for t in b.column(0).to_pylist())
+
+    bits = texts.sparkSession.sparkContext.broadcast(sketch.repeated_bits(texts.select("text").mapInArrow(partial, sketch.SCHEMA)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, maybe = WordHashes(), np.frombuffer(bits.value, np.uint8)
+        for batch in batches:
+            found = [shingles(t, hashes, width) for t in batch.column(1).to_pylist()]
+            common = [int(sketch.maybe_repeated(f, maybe).sum()) for f in found]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(f) for f in found], pa.int64()), pa.array(common, pa.int64())], names=["node", "n", "common"])
+
+    return texts.select("node", "text").mapInArrow(run, "node long, n long, common long")
+
+
 def confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets reach the similarity."""
     rows = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a")
@@ -110,7 +137,8 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE_WORDS, percent: int =
         F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text")).alias("node"), F.xxhash64("text").alias("text_hash"), F.col("text").cast("binary").alias("text")
     )
     texts = stage(whole.join(involved, ["node", "text_hash"], "left_semi").dropDuplicates(["node", "text_hash"]).select("node", "text"), "texts")
-    labels = connect(posted, classes.select("node", "n"), texts, width, percent)
+    sizes = stage(shared_shingles(texts, width).where(100 * F.col("common") >= percent * F.col("n")), "sizes")
+    labels = connect(posted, sizes, texts, width, percent)
 
     least = labels.join(classes.select("node", "least_id"), "node").groupBy("component").agg(F.min("least_id").alias("component_id"))
     of_class = classes.select("key", "node", "least_id").join(labels, "node", "left").join(least, "component", "left")
@@ -132,12 +160,18 @@ def connect(posted: DataFrame, sizes: DataFrame, texts: DataFrame, width: int, p
     tested = spark.createDataFrame([], "a long, b long")
     total = sizes.count()
     links = tested
-    sized = posted.join(sizes, "node")
-    fits = lambda x, y: (100 * F.col(x) >= percent * F.col(y)) & (100 * F.col(y) >= percent * F.col(x))
+    sized = stage(posted.join(sizes, "node"), "sized")
+
+    def fits(other: str) -> Column:
+        """Whether the shingles that others have leave room for the similarity."""
+        both = F.least("common", f"{other}common")
+        return 100 * both >= percent * (F.col("n") + F.col(f"{other}n") - both)
+
     for turn in range(STAR_ROUNDS + 1):
         now = sized.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
         by_token = now.groupBy("token").agg(
-            F.min_by(F.struct("node", "component", "n"), F.xxhash64("node", F.lit(turn)) if turn else F.col("node")).alias("c"),
+            # A member with few shingles of its own is like most others.
+            F.min_by(F.struct("node", "component", "n", "common"), F.xxhash64("node", F.lit(turn)) if turn > 1 else F.struct(F.col("n") - F.col("common"), "node")).alias("c"),
             F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("members"),
         ).where("low <> high")
         open_now = stage(now.join(by_token, "token"), "open")
@@ -147,10 +181,10 @@ def connect(posted: DataFrame, sizes: DataFrame, texts: DataFrame, width: int, p
             return labels
         last = (turn > 0 and pairs_left <= PAIRS_PER_CLASS * total) or turn == STAR_ROUNDS
         if last:
-            other = open_now.select("token", F.col("node").alias("b"), F.col("component").alias("cb"), F.col("n").alias("nb"))
-            pairs = open_now.join(other, "token").where((F.col("component") < F.col("cb")) & fits("n", "nb")).select(F.col("node").alias("a"), "b").distinct()
+            other = open_now.select("token", F.col("node").alias("b"), F.col("component").alias("cb"), F.col("n").alias("o_n"), F.col("common").alias("o_common"))
+            pairs = open_now.join(other, "token").where((F.col("component") < F.col("cb")) & fits("o_")).select(F.col("node").alias("a"), "b").distinct()
         else:
-            pairs = open_now.where((F.col("component") != F.col("c.component")) & fits("n", "c.n")).groupBy(F.col("node").alias("a"), F.col("c.node").alias("b")).count()
+            pairs = open_now.where((F.col("component") != F.col("c.component")) & fits("c.")).groupBy(F.col("node").alias("a"), F.col("c.node").alias("b")).count()
             if not turn:  # the centre it collides with most often
                 pairs = pairs.groupBy("a").agg(F.max_by("b", F.struct("count", "b")).alias("b"))
         pairs = stage(pairs.select("a", "b").join(tested, ["a", "b"], "left_anti"), "pairs")
