@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldglass.llm import (
-    decontamination, language_id, line_dedup, minhash_dedup, mixing, quality_rules, substring_dedup, suffix_dedup, token_counts, warc,
+    decontamination, language_id, line_dedup, minhash_dedup, mixing, oracles, quality_rules, substring_dedup, suffix_dedup, token_counts, warc,
 )
 
 
@@ -69,4 +69,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = oracles.ORACLE_SQL
