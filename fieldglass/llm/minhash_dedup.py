@@ -5,10 +5,11 @@ form a class. Each class is posted under every (coordinate, value) of its signat
 sets at the threshold share MIN_MATCHES of COORDINATES coordinates all but surely, so each
 class keeps only the prefix of its COORDINATES - MIN_MATCHES + 1 rarest postings: pairs with
 enough matches meet in it, and very common postings are skipped. Postings whose members are
-known to be connected are skipped too. A second pass over the classes that have postings left
-counts, behind a count-min sketch, the shingles of each that no other of them has: those
-bound its similarity to anything from above. What the bound admits is confirmed on the full
-sets.
+known to be connected are skipped too. Pairs that meet go on if they collide in MIN_MATCHES
+coordinates. A second pass over the classes that have postings left counts, behind a
+count-min sketch, the shingles of each that no other of them has: those bound its similarity
+to anything from above. A parity bitmap of each set bounds the symmetric difference of two
+from below. What the bounds admit is confirmed on the full sets.
 """
 
 from __future__ import annotations
@@ -31,6 +32,8 @@ COORDINATES, MIN_MATCHES = 24, 7
 #: Rounds against one member of each posting before all pairs across components are tried,
 #: earlier if there are no more such pairs than this many per class.
 STAR_ROUNDS, PAIRS_PER_CLASS = 6, 2
+#: 64-bit words of a parity bitmap.
+PARITY_WORDS = 16
 
 
 def shingles(text: bytes | None, hashes: WordHashes, width: int = SHINGLE_WORDS) -> np.ndarray:
@@ -76,10 +79,11 @@ def postings(classes: DataFrame) -> DataFrame:
 
 
 def shared_shingles(texts: DataFrame, width: int) -> DataFrame:
-    """node, n, common: the size of the set and how many of its shingles other nodes may have.
+    """node, n, common, parity: the size of the set and how many of its shingles other nodes may have.
 
     The sketch counts from above, so a shingle it has seen once is alone for certain, and
-    common is never too small.
+    common is never too small. Each shingle flips one bit of the parity bitmap, so two sets
+    differ in at least as many shingles as their bitmaps do in bits.
     """
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -93,9 +97,13 @@ def shared_shingles(texts: DataFrame, width: int) -> DataFrame:
         for batch in batches:
             found = [shingles(t, hashes, width) for t in batch.column(1).to_pylist()]
             common = [int(sketch.maybe_repeated(f, maybe).sum()) for f in found]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(f) for f in found], pa.int64()), pa.array(common, pa.int64())], names=["node", "n", "common"])
+            flips = (np.bincount((mix(f) % np.uint64(64 * PARITY_WORDS)).astype(np.int64), minlength=64 * PARITY_WORDS) & 1 for f in found)
+            parity = pa.array([np.packbits(x).view(np.int64).tolist() for x in flips], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array([len(f) for f in found], pa.int64()), pa.array(common, pa.int64()), parity], names=["node", "n", "common", "parity"]
+            )
 
-    return texts.select("node", "text").mapInArrow(run, "node long, n long, common long")
+    return texts.select("node", "text").mapInArrow(run, "node long, n long, common long, parity array<long>")
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
@@ -137,7 +145,7 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE_WORDS, percent: int =
         F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text")).alias("node"), F.xxhash64("text").alias("text_hash"), F.col("text").cast("binary").alias("text")
     )
     texts = stage(whole.join(involved, ["node", "text_hash"], "left_semi").dropDuplicates(["node", "text_hash"]).select("node", "text"), "texts")
-    sizes = stage(shared_shingles(texts, width).where(100 * F.col("common") >= percent * F.col("n")), "sizes")
+    sizes = stage(shared_shingles(texts, width).where(100 * F.col("common") >= percent * F.col("n")).join(classes.select("node", "signature"), "node"), "sizes")
     labels = connect(posted, sizes, texts, width, percent)
 
     least = labels.join(classes.select("node", "least_id"), "node").groupBy("component").agg(F.min("least_id").alias("component_id"))
@@ -162,29 +170,36 @@ def connect(posted: DataFrame, sizes: DataFrame, texts: DataFrame, width: int, p
     links = tested
     sized = stage(posted.join(sizes, "node"), "sized")
 
-    def fits(other: str) -> Column:
-        """Whether the shingles that others have leave room for the similarity."""
-        both = F.least("common", f"{other}common")
-        return 100 * both >= percent * (F.col("n") + F.col(f"{other}n") - both)
+    def may_link(other: str) -> Column:
+        """Whether two classes collide often enough and no bound rules the similarity out."""
+        both, sizes_of_both = F.least("common", f"{other}common"), F.col("n") + F.col(f"{other}n")
+        collisions = sum((F.col("signature")[i] == F.col(f"{other}signature")[i]).cast("int") for i in range(COORDINATES))
+        differ = sum(F.bit_count(F.col("parity")[i].bitwiseXOR(F.col(f"{other}parity")[i])) for i in range(PARITY_WORDS))
+        # similarity = (sizes - difference) / (sizes + difference)
+        return (100 * both >= percent * (sizes_of_both - both)) & (collisions >= MIN_MATCHES) & ((100 + percent) * differ <= (100 - percent) * sizes_of_both)
 
     for turn in range(STAR_ROUNDS + 1):
         now = sized.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
         by_token = now.groupBy("token").agg(
             # A member with few shingles of its own is like most others.
-            F.min_by(F.struct("node", "component", "n", "common"), F.xxhash64("node", F.lit(turn)) if turn > 1 else F.struct(F.col("n") - F.col("common"), "node")).alias("c"),
+            F.min_by(F.struct("node", "component", "n", "common", "signature", "parity"), F.xxhash64("node", F.lit(turn)) if turn > 1 else F.struct(F.col("n") - F.col("common"), "node")).alias("c"),
             F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("members"),
         ).where("low <> high")
         open_now = stage(now.join(by_token, "token"), "open")
-        sizes_in = open_now.groupBy("token", "component").agg(F.count(F.lit(1)).alias("k")).groupBy("token").agg(F.sum("k").alias("k"), F.sum(F.col("k") * F.col("k")).alias("kk"))
+        sizes_in = open_now.groupBy("token", "component").agg(F.count(F.lit(1)).alias("k"))
+        sizes_in = sizes_in.groupBy("token").agg(F.sum("k").alias("k"), F.sum(F.col("k") * F.col("k")).alias("kk"), F.max_by("component", F.struct("k", "component")).alias("largest"))
         pairs_left = sizes_in.agg(F.sum((F.col("k") * F.col("k") - F.col("kk")) / 2)).first()[0]
         if not pairs_left:
             return labels
         last = (turn > 0 and pairs_left <= PAIRS_PER_CLASS * total) or turn == STAR_ROUNDS
         if last:
-            other = open_now.select("token", F.col("node").alias("b"), F.col("component").alias("cb"), F.col("n").alias("o_n"), F.col("common").alias("o_common"))
-            pairs = open_now.join(other, "token").where((F.col("component") < F.col("cb")) & fits("o_")).select(F.col("node").alias("a"), "b").distinct()
+            other = open_now.select("token", F.col("node").alias("b"), F.col("component").alias("cb"), F.col("n").alias("o_n"), F.col("common").alias("o_common"), F.col("signature").alias("o_signature"), F.col("parity").alias("o_parity"))
+            # Of any two components one is not the posting's largest, so its members meet all others.
+            outside = open_now.join(sizes_in.select("token", "largest"), "token").where("component <> largest")
+            pairs = outside.join(other, "token").where((F.col("component") != F.col("cb")) & may_link("o_"))
+            pairs = pairs.select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct()
         else:
-            pairs = open_now.where((F.col("component") != F.col("c.component")) & fits("c.")).groupBy(F.col("node").alias("a"), F.col("c.node").alias("b")).count()
+            pairs = open_now.where((F.col("component") != F.col("c.component")) & may_link("c.")).groupBy(F.col("node").alias("a"), F.col("c.node").alias("b")).count()
             if not turn:  # the centre it collides with most often
                 pairs = pairs.groupBy("a").agg(F.max_by("b", F.struct("count", "b")).alias("b"))
         pairs = stage(pairs.select("a", "b").join(tested, ["a", "b"], "left_anti"), "pairs")
