@@ -236,3 +236,17 @@ def test_pipeline(spark):
         assert 0 < after.count() <= docs.count()
         assert name == "mixing" or after.columns == docs.columns
         docs = after
+
+
+def test_parity_bitmaps_bound_the_difference(spark):
+    texts = [sentence(n) for n in (1, 7, 150, 150, 3000)]
+    texts += [texts[2].replace("w1", "q"), texts[4].replace("w12 ", "q "), texts[4] + " " + sentence(20)]
+    rows = minhash_dedup.shared_shingles(spark.createDataFrame([(i, t.encode()) for i, t in enumerate(texts)], "node long, text binary"), 5).collect()
+    bits = {r.node: [x % 2**64 for x in r.parity] for r in rows}
+    sets = [set(minhash_dedup.shingles(t.encode(), minhash_dedup.WordHashes()).tolist()) for t in texts]
+    for r in rows:
+        assert r.n == len(sets[r.node])
+    for a, x in bits.items():
+        for b, y in bits.items():
+            differ = sum((p ^ q).bit_count() for p, q in zip(x, y, strict=True))
+            assert differ <= len(sets[a] ^ sets[b]) and (differ - len(sets[a] ^ sets[b])) % 2 == 0
