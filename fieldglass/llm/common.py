@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 SPACE = " \t\n\x0b\f\r"
 #: Rows per Arrow batch: texts reach 100 kB and more, so batches stay short.
 BATCH_ROWS = 256
+#: Deletes the shuffle files of a query when it ends.
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Distinct words remembered by one Python worker.
 MEMO_WORDS = 200_000
 
@@ -50,11 +52,17 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write a DataFrame to the shared folder and read it back.
 
-    This cuts the lineage: a lost executor costs a re-read, not a recomputation.
+    This cuts the lineage: a lost executor costs a re-read, not a recomputation. The shuffle
+    files behind the table are deleted once it is written.
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(SHUFFLE_CLEANUP)
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(SHUFFLE_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -106,7 +106,7 @@ def removed_starts(found: DataFrame) -> DataFrame:
     single = stage(single.select("anchor", "key", "j", "window", here.alias("here")), "windows")
     earliest = single.groupBy("anchor", "window").agg(F.min("here").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     late = single.join(earliest, ["anchor", "window"]).where("least < here")
-    late = late.groupBy("anchor", "key").agg(F.collect_list("j").alias("late"))
+    late = stage(late.groupBy("anchor", "key").agg(F.collect_list("j").alias("late")), "late")
     # Of a stretch that occurs once and has no late window nothing goes.
     matter = kinds.join(late, ["anchor", "key"], "left").where("n > 1 or late is not null").select("anchor", "key", "first", "late")
     joined = found.select("doc_id", "text_hash", "anchor", "key", "start", F.size("windows").alias("n")).join(matter, ["anchor", "key"])
@@ -115,7 +115,7 @@ def removed_starts(found: DataFrame) -> DataFrame:
         F.transform(F.coalesce("late", F.array().cast("array<int>")), lambda j: F.struct((F.col("start") + j).alias("s"), F.lit(1).alias("n")))
     )
     joined = joined.withColumn("ranges", ranges).where(F.size("ranges") > 0)
-    return joined.groupBy("doc_id", "text_hash").agg(F.flatten(F.collect_list("ranges")).alias("ranges"))
+    return stage(joined.groupBy("doc_id", "text_hash").agg(F.flatten(F.collect_list("ranges")).alias("ranges")), "ranges")
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
