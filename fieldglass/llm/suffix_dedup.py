@@ -142,18 +142,19 @@ def counted(kinds: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, k, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for a, k, once, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 h = rolling(np.frombuffer(data, np.uint8), WIDTH).view(np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(h), a)), pa.array(np.full(len(h), k)), pa.array(np.arange(len(h))), pa.array(h)], names=["anchor", "key", "j", "window"]
+                    [pa.array(np.full(len(h), a)), pa.array(np.full(len(h), k)), pa.array(np.full(len(h), once)), pa.array(np.arange(len(h), dtype=np.int32)), pa.array(h)],
+                    names=["anchor", "key", "once", "j", "window"],
                 )
 
-    single = kinds.select("anchor", "key", "bytes").mapInArrow(run, "anchor long, key long, j long, window long")
+    single = kinds.select("anchor", "key", F.expr("times = 1").alias("once"), "bytes").mapInArrow(run, "anchor long, key long, once boolean, j int, window long")
     single = stage(single, "windows")
     twice = single.groupBy("anchor", "window").agg(F.count(F.lit(1)).alias("times")).where("times > 1").drop("times")
-    return single.join(twice, ["anchor", "window"]).groupBy("anchor", "key").agg(
-        F.collect_list(F.struct(F.col("j").alias("s"), F.lit(1).cast("long").alias("n"))).alias("ranges")
-    )
+    # A stretch that occurs twice goes as a whole: its windows count, but need no answer.
+    asked = single.where("once").select("anchor", "key", "j", "window").join(twice, ["anchor", "window"])
+    return asked.groupBy("anchor", "key").agg(F.collect_list(F.struct(F.col("j").cast("long").alias("s"), F.lit(1).cast("long").alias("n"))).alias("ranges"))
 
 
 def removed_starts(found: DataFrame) -> DataFrame:
@@ -163,13 +164,13 @@ def removed_starts(found: DataFrame) -> DataFrame:
     several = stage(kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds"), F.min("times").alias("least")).where("kinds > 1 and least = 1"), "several")
     # Stretches that all occur twice are repeated as they are; no array is needed.
     few, many = (kinds.join(several.where(c), "anchor", "left_semi") for c in (f"kinds <= {HOT_STRETCHES}", f"kinds > {HOT_STRETCHES}"))
-    ranges = sharded(few).unionByName(counted(many))
+    ranges = stage(sharded(few).unionByName(counted(many)), "ranges")
     matter = kinds.select("anchor", "key", "times").join(ranges, ["anchor", "key"], "left").where("times > 1 or ranges is not null")
     rows = found.select("doc_id", "text_hash", "anchor", "key", "start", "n").join(matter, ["anchor", "key"])
     whole = F.array(F.struct(F.col("start").alias("s"), F.col("n").cast("long").alias("n")))
     part = F.transform("ranges", lambda r: F.struct((r["s"] + F.col("start")).alias("s"), r["n"].alias("n")))
     rows = rows.withColumn("ranges", F.when(F.col("times") > 1, whole).otherwise(part))
-    return rows.groupBy("doc_id", "text_hash").agg(F.flatten(F.collect_list("ranges")).alias("ranges"))
+    return stage(rows.groupBy("doc_id", "text_hash").agg(F.flatten(F.collect_list("ranges")).alias("ranges")), "gone")
 
 
 def remove_repeated_bytes(docs: DataFrame) -> DataFrame:
