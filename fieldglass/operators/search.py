@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from itertools import accumulate
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldglass.functions import geo
 from fieldglass.functions.text import search_tokens
+from fieldglass.operators.graph import cut
 
 MAX_TERMS = 6
 # Radii in metres that a search widens through.
@@ -77,11 +81,39 @@ def decayed(df: DataFrame, by: str, value: Column, age: Column, keep: int) -> Da
     return df.groupBy(by).agg(F.sum(value / F.greatest(age, F.lit(1.0))).alias("rank")).orderBy(F.round("rank", 9).desc(), by).limit(keep)
 
 
+def placed(df: DataFrame, order: list[Column]) -> DataFrame:
+    """Every row with its place in the order, from 1; the order tells rows apart. Ranges are sorted each on its own and offset by the rows before them."""
+    parts = cut(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("at_", F.monotonically_increasing_id()))
+    sizes = sorted(tuple(r) for r in parts.groupBy(F.shiftright("at_", 33).alias("part_")).count().collect())
+    before = list(accumulate([n for _, n in sizes], initial=0))
+    offsets = df.sparkSession.createDataFrame([(p, b) for (p, _), b in zip(sizes, before, strict=False)], "part_ long, before_ long")
+    rows = parts.join(F.broadcast(offsets), F.shiftright("at_", 33) == F.col("part_"))
+    return rows.withColumn("place", F.col("before_") + F.col("at_") - F.shiftleft("part_", 33) + 1).drop("at_", "part_", "before_")
+
+
 def visibility_tiers(df: DataFrame, order: list[str], steps: tuple[int, ...] = (3, 20, 100)) -> DataFrame:
-    """Level of each row by its place in the order: one more after each step. The order's ranking is a top-k, not a sort of all."""
+    """The first rows of the order with a level: one more after each step. The order's ranking is a top-k; visible_levels has all rows."""
     top = df.orderBy(*order).limit(max(steps) * 10)
     k = F.row_number().over(Window.orderBy(*order))
     level = F.lit(0)
     for s in steps:
         level = level + (k > s).cast("int")
     return top.withColumn("level", level)
+
+
+def visible_levels(df: DataFrame, key: list[str], limits: tuple[int, ...] = (3, 20, 100)) -> DataFrame:
+    """Level of every row, in the order of a coarse key: where the key changes and the level has its limit of rows, the next begins; the last limit repeats.
+
+    Only counts by distinct key come to the driver, one partition at a time.
+    """
+    levels, level, held = [], 0, 0
+    for *k, n in df.groupBy(*key).agg(F.count(F.lit(1)).alias("n_")).orderBy(*key).toLocalIterator():
+        if held >= limits[min(level, len(limits) - 1)]:
+            level, held = level + 1, 0
+        held += n
+        levels.append((*k, level))
+    names = [f"key_{i}" for i in range(len(key))]
+    schema = ", ".join(f"{n} {df.schema[c].dataType.simpleString()}" for n, c in zip(names, key, strict=True))
+    of = df.sparkSession.createDataFrame(levels, f"{schema}, level int")
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(n)) for n, c in zip(names, key, strict=True)])
+    return df.join(of, same).drop(*names)

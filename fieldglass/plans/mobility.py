@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from fieldglass.functions import geo, text
 from fieldglass.operators import cameras as C
 from fieldglass.operators import tracks as T
+from fieldglass.operators.search import placed
 from fieldglass.plans.standins import duck, standin
 
 r = lambda c, n=4: F.round(c, n)
@@ -148,6 +149,12 @@ def sorted_tracks(spark: SparkSession, d: str) -> DataFrame:
     return items(spark, d).orderBy(F.round("length", 3).desc_nulls_last(), "folder", "track").limit(200).select("track", "folder", r(F.col("length"), 3).alias("length"))
 
 
+def all_sorted_tracks(spark: SparkSession, d: str) -> DataFrame:
+    """Every track by length with its place, unknown lengths last, ties by folder and track."""
+    df = items(spark, d).select("track", "folder", r(F.col("length"), 3).alias("length"))
+    return placed(df, [F.col("length").desc_nulls_last(), F.col("folder"), F.col("track")])
+
+
 def smoothed_points(spark: SparkSession, d: str) -> DataFrame:
     return T.smoothed(T.legs(standin(spark, d, "points")), 3000.0)
 
@@ -163,7 +170,7 @@ def simplified_tracks(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     watched_commutes, camera_heads, client_heads, camera_build_counts, cameras_in_box, camera_density, cone_boxes, watched_points, track_legs, track_analysis, track_sessions,
     timeline_segments, split_by_distance, gps_filter, gap_fill, last_per_kind, rolling_speed, folder_totals, organized_by_range, organized_by_month, smart_folders, distinct_values,
-    sorted_tracks, smoothed_points, elevation_changes, simplified_tracks,
+    sorted_tracks, all_sorted_tracks, smoothed_points, elevation_changes, simplified_tracks,
 )}
 
 HAV = "2 * {r}::DOUBLE * asin(least(1.0::DOUBLE, sqrt(pow(sin(radians({c} - {a}) / 2), 2) + cos(radians({a})) * cos(radians({c})) * pow(sin(radians({d} - {b}) / 2), 2))))"
@@ -218,4 +225,5 @@ ORACLE_SQL = {
     "smart_folders": duck("points", ITEMS + " SELECT track, kind, length BETWEEN 100 AND 2000 OR length > 2000 AS long, kind IN ('click', 'view') AND (folder LIKE 'all/c%' OR folder LIKE 'all/view%') AS liked FROM items"),
     "distinct_values": duck("points", ITEMS + " SELECT coalesce(kind, '') AS kind, count(*) AS n, max(created) AS latest, coalesce(min(CASE WHEN created > 10 THEN created END), -1) AS earliest FROM items GROUP BY 1"),
     "sorted_tracks": duck("points", ITEMS + " SELECT track, folder, round(length, 3) AS length FROM items ORDER BY round(length, 3) DESC NULLS LAST, folder, track LIMIT 200"),
+    "all_sorted_tracks": duck("points", ITEMS + " SELECT track, folder, round(length, 3) AS length, row_number() OVER (ORDER BY round(length, 3) DESC NULLS LAST, folder, track) AS place FROM items"),
 }

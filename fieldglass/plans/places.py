@@ -46,6 +46,12 @@ def history_rank(spark: SparkSession, d: str) -> DataFrame:
     return S.decayed(df, "track", F.col("speed"), F.col("idx").cast("double"), 50).select("track", F.round("rank", 6).alias("rank"))
 
 
+def longer_history_rank(spark: SparkSession, d: str) -> DataFrame:
+    """As history_rank, with the reference's limit of 1,500."""
+    df = standin(spark, d, "points")
+    return S.decayed(df, "track", F.col("speed"), F.col("idx").cast("double"), 1500).select("track", F.round("rank", 6).alias("rank"))
+
+
 def distinct_names(spark: SparkSession, d: str) -> DataFrame:
     return standin(spark, d, "cameras").groupBy("vendor").agg(F.array_join(F.array_sort(F.collect_set("kind")), ",").alias("kinds"), big(F.count_distinct("kind")).alias("n"))
 
@@ -127,6 +133,10 @@ def tiered_results(spark: SparkSession, d: str) -> DataFrame:
     return S.visibility_tiers(standin(spark, d, "cameras"), ["size", "id"]).select("id", big(F.col("level")).alias("level"))
 
 
+def all_tiered_results(spark: SparkSession, d: str) -> DataFrame:
+    return S.visible_levels(standin(spark, d, "cameras"), ["size"]).select("id", big(F.col("level")).alias("level"))
+
+
 def page_of_items(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "part").select("p_name", "p_partkey").orderBy("p_name", "p_partkey").offset(200).limit(100)
 
@@ -141,6 +151,7 @@ def article_sets(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     term_frequencies, all_terms, ranked_lookup, nearest_camera, widened_search, faceted_places, history_rank, distinct_names, tiles, tile_extents, overlapping_boxes, box_components,
     least_cost_routes, avoiding_routes, routing_rules, intervals, page_links, latest_merged, tiered_results, page_of_items, article_sets,
+    longer_history_rank, all_tiered_results,
 )}
 
 DIST = lambda a, b: HAV.format(r=6372800, a=a, b=b, c="lat", d="lon")
@@ -173,6 +184,11 @@ ORACLE_SQL = {
     "page_links": "SELECT page_id, regexp_extract(url, '^[a-z]+://([^/?#]+)', 1) AS host, nullif(regexp_extract(url, '[?&]page=([^&#]*)', 1), '') AS page FROM pages",
     "latest_merged": duck("points", ", p AS (SELECT track, ms, idx, lat, CASE WHEN idx % 4 <> 0 THEN speed END AS speed FROM points) SELECT track, max(ms) AS ms, arg_max(lat, ms * 100000000 + idx) AS lat, arg_max(speed, CASE WHEN speed IS NOT NULL THEN ms * 1000000 + idx END) AS speed FROM p GROUP BY 1").replace("ms * 100000000", "ms * 1000000"),
     "tiered_results": duck("cameras", ", k AS (SELECT id, row_number() OVER (ORDER BY size, id) AS k FROM cameras) SELECT id, CAST((k > 3)::INT + (k > 20)::INT + (k > 100)::INT AS BIGINT) AS level FROM k WHERE k <= 1000"),
+    "longer_history_rank": duck("points", "SELECT track, round(sum(speed / greatest(idx, 1)::DOUBLE), 6) AS rank FROM points GROUP BY 1 ORDER BY round(sum(speed / greatest(idx, 1)::DOUBLE), 9) DESC, track LIMIT 1500"),
+    "all_tiered_results": duck("cameras", """, g AS (SELECT size, row_number() OVER (ORDER BY size) AS i, sum(count(*)) OVER (ORDER BY size) - count(*) AS before FROM cameras GROUP BY size),
+ w AS (SELECT 1::BIGINT AS i, 0::HUGEINT AS since, 0::BIGINT AS level UNION ALL
+  SELECT g.i, CASE WHEN before - since >= [3, 20, 100][least(level, 2) + 1] THEN before ELSE since END, level + CASE WHEN before - since >= [3, 20, 100][least(level, 2) + 1] THEN 1 ELSE 0 END FROM w JOIN g ON g.i = w.i + 1)
+ SELECT id, level FROM cameras JOIN g USING (size) JOIN w USING (i)""").replace("WITH ", "WITH RECURSIVE ", 1),
     "page_of_items": "SELECT p_name, p_partkey FROM part ORDER BY p_name, p_partkey LIMIT 100 OFFSET 200",
     "article_sets": "SELECT n_regionkey, 'union' AS op FROM (SELECT n_regionkey FROM nation UNION SELECT r_regionkey FROM region) UNION ALL SELECT n_regionkey, 'both' FROM (SELECT n_regionkey FROM nation INTERSECT SELECT r_regionkey FROM region) UNION ALL SELECT r_regionkey, 'rest' FROM (SELECT r_regionkey FROM region EXCEPT SELECT n_regionkey FROM nation)",
 }

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldglass.operators import study as S
+from fieldglass.operators.search import placed
 from fieldglass.plans.standins import duck, standin, table
 
 r4 = lambda c: F.round(c, 4)
@@ -109,6 +110,12 @@ def seeded_shuffle(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "orders").select("o_orderkey", F.md5(F.concat(F.lit("20260725:"), F.col("o_orderkey").cast("string"))).alias("place")).orderBy("place").limit(100)
 
 
+def full_shuffle(spark: SparkSession, d: str) -> DataFrame:
+    """Every order with its place in the seeded shuffle."""
+    df = table(spark, d, "orders").select("o_orderkey", F.md5(F.concat(F.lit("20260725:"), F.col("o_orderkey").cast("string"))).alias("digest"))
+    return placed(df, [F.col("digest"), F.col("o_orderkey")]).select("o_orderkey", "place")
+
+
 def bootstrap_medians(spark: SparkSession, d: str) -> DataFrame:
     return S.bootstrap(standin(spark, d, "results"), ["state"], ["base_cameras"], S.medians)
 
@@ -119,7 +126,7 @@ def bootstrap_rates(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     od_flows, od_flow_shares, od_with_ends, exposure_shares, tail_percentiles, quartiles_by_state, rates_by_state, quartile_contrast, quartiles_within_areas,
-    vendor_totals, radius_sweep, histogram_and_fit, ecdf, demographics, resume_skip, commute_sample, seeded_shuffle, bootstrap_medians, bootstrap_rates,
+    vendor_totals, radius_sweep, histogram_and_fit, ecdf, demographics, resume_skip, commute_sample, seeded_shuffle, full_shuffle, bootstrap_medians, bootstrap_rates,
 )}
 
 # Exclusive quartiles: linear interpolation at position k (n + 1) / 4 of the sorted values.
@@ -156,4 +163,5 @@ ORACLE_SQL = {
     "commute_sample": duck("flows", """, f AS (SELECT concat_ws('-', h, w) AS pair, workers FROM flows WHERE workers >= 60), r AS (SELECT pair, workers, sum(workers) OVER (ORDER BY pair) AS hi, sum(workers) OVER () AS total FROM f),
  s AS (SELECT i, (0.618034::DOUBLE * i) % 1.0::DOUBLE AS spot FROM range(1, 301) t(i)) SELECT pair, min(i) AS draw FROM s JOIN r ON spot >= (hi - workers) / total AND spot < hi / total GROUP BY pair ORDER BY draw LIMIT 100"""),
     "seeded_shuffle": "SELECT o_orderkey, md5('20260725:' || o_orderkey) AS place FROM orders ORDER BY place LIMIT 100",
+    "full_shuffle": "SELECT o_orderkey, row_number() OVER (ORDER BY md5('20260725:' || o_orderkey), o_orderkey) AS place FROM orders",
 }

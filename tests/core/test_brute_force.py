@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fieldglass.functions import geo, text
-from fieldglass.operators import cameras, study, tracks
+from fieldglass.operators import cameras, graph, search, study, tracks
 from fieldglass.plans.standins import standin
 from fieldglass.sources import readers
 from fieldglass.streaming import state
@@ -100,3 +100,17 @@ def test_streams(spark, tmp_path):
     q = df.writeStream.format("memory").queryName("accepted").outputMode("append").option("checkpointLocation", str(tmp_path / "at")).trigger(availableNow=True).start()
     assert q.awaitTermination(60)
     assert {tuple(r) for r in spark.table("accepted").collect()} == {(1, 10), (1, 20), (2, 5)}
+
+
+def test_every_row_has_a_level_and_a_place(spark):
+    keys = [i * i // 4000 for i in range(1500)] + [900 + i for i in range(30)]
+    want, level, held = [], 0, 0
+    for i, k in enumerate(keys):
+        if i and k != keys[i - 1] and held >= (3, 20, 100)[min(level, 2)]:
+            level, held = level + 1, 0
+        held += 1
+        want.append((i, level))
+    df = spark.createDataFrame(list(enumerate(keys)), "id long, key long").repartition(5)
+    assert sorted((r.id, r.level) for r in search.visible_levels(df, ["key"]).collect()) == want
+    places = search.placed(df, [F.col("key").desc(), F.col("id")])
+    assert sorted((r.place, r.id) for r in places.collect()) == [(p, i) for p, (_, i) in enumerate(sorted((-k, i) for i, k in enumerate(keys)), 1)]
