@@ -27,23 +27,24 @@ def edge_cost(seconds: Column, flag: Column, multiplier: float = 1.0) -> Column:
     return seconds / F.when(flag, F.lit(float(multiplier))).otherwise(F.lit(1.0))
 
 
-def least_costs(edges: DataFrame, sources: DataFrame, max_cost: float, rounds: int = 64) -> DataFrame:
+def least_costs(edges: DataFrame, sources: DataFrame, max_cost: float) -> DataFrame:
     """source, node, cost of the cheapest path from each source (column `node`) up to max_cost, over edges (src, dst, cost).
 
     Each round relaxes only from nodes that got cheaper in the last one, so the work follows the
-    frontier; rounds bound the number of edges on a path.
+    frontier; it ends when none did. Costs are not negative.
     """
+    if not edges.where("cost < 0").isEmpty():
+        raise ValueError("an edge has a negative cost")
     best = cut(sources.select(F.col("node").alias("source"), "node", F.lit(0.0).alias("cost")))
     frontier = best
-    for _ in range(rounds):
+    while True:
         step = frontier.join(edges.withColumnRenamed("cost", "c"), F.col("node") == F.col("src")).select("source", F.col("dst").alias("node"), (F.col("cost") + F.col("c")).alias("cost"))
         step = step.where(F.col("cost") <= max_cost).groupBy("source", "node").agg(F.min("cost").alias("new"))
         both = cut(best.join(step, ["source", "node"], "full_outer"))
         frontier = both.where(F.col("cost").isNull() | (F.col("new") < F.col("cost"))).select("source", "node", F.col("new").alias("cost"))
         best = both.select("source", "node", F.least("cost", "new").alias("cost"))
         if frontier.isEmpty():
-            break
-    return best
+            return best
 
 
 def components(edges: DataFrame, a: str, b: str) -> DataFrame:

@@ -105,6 +105,23 @@ def avoiding_routes(spark: SparkSession, d: str) -> DataFrame:
     return routes(spark, d, 0.1)
 
 
+def supply_edges(spark: SparkSession, d: str) -> DataFrame:
+    """Parts (even nodes) and suppliers (odd nodes) by their whole keys: an edge each way where a line has both; every third is watched."""
+    df = table(spark, d, "lineitem").select("l_partkey", "l_suppkey").distinct()
+    p, s = F.col("l_partkey"), F.col("l_suppkey")
+    df = df.select((p * 2).alias("a"), (s * 2 + 1).alias("b"), ((p * 7 + s * 3) % 9 + 2).cast("double").alias("seconds"), ((p + s) % 3 == 0).alias("watched"))
+    return df.unionByName(df.select(F.col("b").alias("a"), F.col("a").alias("b"), "seconds", "watched"))
+
+
+def supply_routes(spark: SparkSession, d: str, multiplier: float = 1.0) -> DataFrame:
+    e = supply_edges(spark, d).select(F.col("a").alias("src"), F.col("b").alias("dst"), G.edge_cost(F.col("seconds"), F.col("watched"), multiplier).alias("cost"))
+    return G.least_costs(e, spark.range(1, 4).select((F.col("id") * 2).alias("node")), 30.0)
+
+
+def avoiding_supply_routes(spark: SparkSession, d: str) -> DataFrame:
+    return supply_routes(spark, d, 0.1)
+
+
 def routing_rules(spark: SparkSession, d: str) -> DataFrame:
     """Ordered rules over part attributes: the first that holds decides."""
     rules = [(F.col("p_size") > 40, F.lit(0.0)), (F.col("p_brand") == "Brand#11", F.lit(0.3)), (F.col("p_retailprice") >= 1500, F.lit(0.5)), (F.col("p_size").between(10, 20), F.lit(0.8))]
@@ -151,7 +168,7 @@ def article_sets(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     term_frequencies, all_terms, ranked_lookup, nearest_camera, widened_search, faceted_places, history_rank, distinct_names, tiles, tile_extents, overlapping_boxes, box_components,
     least_cost_routes, avoiding_routes, routing_rules, intervals, page_links, latest_merged, tiered_results, page_of_items, article_sets,
-    longer_history_rank, all_tiered_results,
+    longer_history_rank, all_tiered_results, supply_routes, avoiding_supply_routes,
 )}
 
 DIST = lambda a, b: HAV.format(r=6372800, a=a, b=b, c="lat", d="lon")
@@ -159,6 +176,11 @@ EDGES = """WITH RECURSIVE e AS (SELECT DISTINCT s_suppkey % 97 AS src, (s_suppke
  FROM supplier, (VALUES (2, 1, 5.0::DOUBLE), (3, 2, 7.0::DOUBLE), (1, 1, 2.0::DOUBLE)) v(m, k, s)), c AS (SELECT src, dst, min(seconds / CASE WHEN watched THEN {m}::DOUBLE ELSE 1.0::DOUBLE END) AS cost FROM e GROUP BY 1, 2),
  w AS (SELECT i AS source, i AS node, 0.0::DOUBLE AS cost, 0 AS n FROM range(0, 3) r(i) UNION SELECT source, dst, min(w.cost + c.cost), n + 1 FROM w JOIN c ON node = src WHERE n < 30 GROUP BY source, dst, n)
  SELECT source, node, min(cost) AS cost FROM w GROUP BY 1, 2"""
+# Edges cost 2 at least, so no path up to 30 has more than 15.
+SUPPLY = """WITH RECURSIVE l AS (SELECT DISTINCT l_partkey AS p, l_suppkey AS s FROM lineitem), e AS (SELECT p * 2 AS a, s * 2 + 1 AS b, ((p * 7 + s * 3) % 9 + 2)::DOUBLE / CASE WHEN (p + s) % 3 = 0 THEN {m}::DOUBLE ELSE 1.0::DOUBLE END AS cost FROM l),
+ c AS (SELECT a AS src, b AS dst, cost FROM e UNION ALL SELECT b, a, cost FROM e),
+ w AS (SELECT 2 * i AS source, 2 * i AS node, 0.0::DOUBLE AS cost, 0 AS n FROM range(1, 4) r(i) UNION SELECT source, dst, min(w.cost + c.cost), n + 1 FROM w JOIN c ON node = src WHERE n < 15 AND w.cost + c.cost <= 30 GROUP BY source, dst, n)
+ SELECT source, node, min(cost) AS cost FROM w GROUP BY 1, 2"""
 BOXES = """, b AS (SELECT id, lat - 0.0004::DOUBLE AS y0, lat + 0.0004::DOUBLE AS y1, lon - 0.0004::DOUBLE AS x0, lon + 0.0004::DOUBLE AS x1 FROM cameras),
  o AS (SELECT a.id, c.id AS o_id FROM b a JOIN b c ON a.id < c.id AND a.y0 <= c.y1 AND c.y0 <= a.y1 AND a.x0 <= c.x1 AND c.x0 <= a.x1)"""
 TX = lambda z: f"CAST(floor((lon + 180) / 360 * {1 << z}) AS BIGINT)"
@@ -179,6 +201,8 @@ ORACLE_SQL = {
     "box_components": duck("cameras", BOXES + ", l AS (SELECT id AS a, o_id AS b FROM o UNION SELECT o_id, id FROM o), w AS (SELECT DISTINCT a AS node, a AS component FROM l UNION SELECT l.b, w.component FROM w JOIN l ON w.node = l.a WHERE w.component < l.b) SELECT node, min(component) AS component FROM w GROUP BY 1").replace("WITH ", "WITH RECURSIVE ", 1),
     "least_cost_routes": EDGES.format(m="1.0"),
     "avoiding_routes": EDGES.format(m="0.1"),
+    "supply_routes": SUPPLY.format(m="1.0"),
+    "avoiding_supply_routes": SUPPLY.format(m="0.1"),
     "routing_rules": "SELECT p_partkey, CAST(CASE WHEN p_size > 40 THEN 0 WHEN p_brand = 'Brand#11' THEN 0.3 WHEN p_retailprice >= 1500 THEN 0.5 WHEN p_size BETWEEN 10 AND 20 THEN 0.8 ELSE 1 END AS DOUBLE) AS priority FROM part",
     "intervals": "SELECT o_orderkey, CAST(CASE o_orderkey % 4 WHEN 0 THEN (o_orderkey % 24) * 3600 + 1815 WHEN 1 THEN (o_orderkey % 90) * 60 WHEN 2 THEN (o_orderkey % 7) * 3600 + 300 ELSE 0 END AS BIGINT) AS seconds FROM orders",
     "page_links": "SELECT page_id, regexp_extract(url, '^[a-z]+://([^/?#]+)', 1) AS host, nullif(regexp_extract(url, '[?&]page=([^&#]*)', 1), '') AS page FROM pages",

@@ -114,3 +114,12 @@ def test_every_row_has_a_level_and_a_place(spark):
     assert sorted((r.id, r.level) for r in search.visible_levels(df, ["key"]).collect()) == want
     places = search.placed(df, [F.col("key").desc(), F.col("id")])
     assert sorted((r.place, r.id) for r in places.collect()) == [(p, i) for p, (_, i) in enumerate(sorted((-k, i) for i, k in enumerate(keys)), 1)]
+
+
+def test_least_costs_reach_the_end_of_a_long_path(spark):
+    edges = [(i, i + 1, 1.0) for i in range(70)] + [(0, 70, 90.0), (70, 71, 50.0)]
+    df = spark.createDataFrame(edges, "src long, dst long, cost double").coalesce(1).cache()
+    got = graph.least_costs(df, spark.range(1).select(F.col("id").alias("node")), 100.0)
+    assert sorted(tuple(r) for r in got.collect()) == [(0, i, float(i)) for i in range(71)]
+    with pytest.raises(ValueError, match="negative"):
+        graph.least_costs(spark.createDataFrame([(1, 2, -1.0)], "src long, dst long, cost double"), spark.range(1).select(F.col("id").alias("node")), 1.0)
