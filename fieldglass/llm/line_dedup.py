@@ -1,13 +1,18 @@
 """Operator 2: removal of repeated multi-line chunks with content-defined boundaries.
 
-A rolling hash over the hashes of three lines chooses where chunks end, so a line inserted
-or removed moves only the boundaries near it. Chunks with at least two lines that hold a
-word are sketched by partition; those that the merged sketch estimates repeated are grouped
-by their bytes, and all but the first occurrence goes.
+A repeat is two neighbouring lines that hold a word, with the blank lines between them, that
+occurred before; longer repeats consist of such pairs, so a passage shared by otherwise
+different texts goes from its first such line to its last. Pairs are sketched by partition;
+those that the merged sketch estimates repeated are grouped by their SHA-256, and the lines
+of all but the first occurrence go. The first occurrence of every line stays.
+
+Results are counted in chunks: a rolling hash over the hashes of three lines chooses where
+chunks end, so a line inserted or removed moves only the boundaries near it.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,7 +28,7 @@ ROLL_LINES, MEAN_LINES, MIN_LINES = 3, 4, 2
 
 
 def chunks(lines: list[bytes]) -> list[tuple[int, int]]:
-    """(first line, number of lines) of each chunk; every line is in one."""
+    """(first line, number of lines) of each chunk; every line is in one. A short rest belongs to the chunk before it."""
     h = np.fromiter((xxhash.xxh3_64_intdigest(x) for x in lines), np.uint64, len(lines))
     ends = np.flatnonzero(windows(h, ROLL_LINES, 3) % np.uint64(MEAN_LINES) == 0) + ROLL_LINES
     out, start = [], 0
@@ -31,7 +36,9 @@ def chunks(lines: list[bytes]) -> list[tuple[int, int]]:
         if e - start >= MIN_LINES:
             out.append((start, e - start))
             start = e
-    if start < len(lines):
+    if out and len(lines) - start < MIN_LINES:
+        out[-1] = (out[-1][0], len(lines) - out[-1][0])
+    elif start < len(lines):
         out.append((start, len(lines) - start))
     return out
 
@@ -47,12 +54,21 @@ def eligible(text: bytes | None) -> Iterator[tuple[int, int, bytes]]:
             yield start, n, b"\n".join(part)
 
 
+def pairs(text: bytes | None) -> Iterator[tuple[int, int, bytes]]:
+    """(first line, number of lines, bytes) of each two neighbouring lines with a word."""
+    lines = (text or b"").split(b"\n")
+    worded = [i for i, x in enumerate(lines) if x and not x.isspace()]
+    for a, b in zip(worded, worded[1:], strict=False):
+        yield a, b - a + 1, b"\n".join(lines[a : b + 1])
+
+
 def remove_repeated_chunks(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """One row per row of `docs` (doc_id, text): keep, text, n_lines, n_chunks, n_removed_chunks, n_removed_lines.
 
     keep: columns carried along, doc_id alone by default (without text, which is replaced).
-    The first occurrence, by smallest doc_id (null first), then a hash of the text, then
-    position, stays. Rows equal in id and text are one document and get the same result. A
+    n_chunks counts the content-defined chunks, n_removed_chunks those with words in two lines
+    of which no line stays. The first occurrence, by smallest doc_id (null first), then a hash
+    of the text, then position, stays. Rows equal in id and text are one document and get the same result. A
     null text stays null; an empty one is one empty line and stays.
     """
     spark = docs.sparkSession
@@ -61,7 +77,7 @@ def remove_repeated_chunks(docs: DataFrame, keep: list[str] | None = None) -> Da
     texts = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.col("text").cast("binary").alias("text"))
 
     def prints(text: bytes | None) -> np.ndarray:
-        return np.array([xxhash.xxh3_64_intdigest(c) for _, _, c in eligible(text)], np.uint64)
+        return np.array([xxhash.xxh3_64_intdigest(c) for _, _, c in pairs(text)], np.uint64)
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from sketch.partial(prints(t) for b in batches for t in b.column(0).to_pylist())
@@ -73,7 +89,7 @@ def remove_repeated_chunks(docs: DataFrame, keep: list[str] | None = None) -> Da
         for batch in batches:
             row, found = [], []
             for i, text in enumerate(batch.column(2).to_pylist()):
-                parts = list(eligible(text))
+                parts = list(pairs(text))
                 if parts:
                     hit = sketch.maybe_repeated(np.array([xxhash.xxh3_64_intdigest(c) for *_, c in parts], np.uint64), maybe)
                     found += [p for p, h in zip(parts, hit.tolist(), strict=True) if h]
@@ -82,17 +98,15 @@ def remove_repeated_chunks(docs: DataFrame, keep: list[str] | None = None) -> Da
                 take = pa.array(row)
                 start, n, data = zip(*found, strict=True)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(take), batch.column(1).take(take), pa.array(start, pa.int32()), pa.array(n, pa.int32()), pa.array(data, pa.binary())],
-                    names=["doc_id", "text_hash", "start", "n", "chunk"],
+                    [batch.column(0).take(take), batch.column(1).take(take), pa.array(start, pa.int32()), pa.array(n, pa.int32()), pa.array([hashlib.sha256(x).digest() for x in data], pa.binary())],
+                    names=["doc_id", "text_hash", "start", "n", "digest"],
                 )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    found = stage(texts.mapInArrow(run, f"doc_id {kind}, text_hash long, start int, n int, chunk binary"), "chunks")
-    # Equal bytes: grouping and joining compare the chunks themselves; the hash only deals them out.
+    found = stage(texts.mapInArrow(run, f"doc_id {kind}, text_hash long, start int, n int, digest binary"), "pairs")
     place = F.struct("doc_id", "text_hash", "start")
-    found = found.withColumn("h", F.xxhash64("chunk"))
-    firsts = found.groupBy("h", "chunk").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("times")).where("times > 1")
-    late = found.join(firsts, ["h", "chunk"]).where(place != F.col("first"))
+    firsts = found.groupBy("digest").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("times")).where("times > 1")
+    late = found.join(firsts, "digest").where(place != F.col("first"))
     gone = late.groupBy(F.col("doc_id").alias("gone_id"), F.col("text_hash").alias("gone_hash")).agg(F.collect_set(F.struct("start", "n")).alias("gone"))
     rows = docs.select(F.struct(*keep).alias("kept_columns"), "doc_id", F.xxhash64("text").alias("text_hash"), F.col("text").cast("binary").alias("text"))
     rows = rows.join(gone, F.col("doc_id").eqNullSafe(F.col("gone_id")) & (F.col("text_hash") == F.col("gone_hash")), "left")
@@ -105,11 +119,14 @@ def remove_repeated_chunks(docs: DataFrame, keep: list[str] | None = None) -> Da
                     out.append((None, 0, 0, 0, 0))
                     continue
                 lines = text.split(b"\n")
-                total, cut = len(chunks(lines)), 0
-                for p in sorted(parts or [], key=lambda p: -p["start"]):
-                    del lines[p["start"] : p["start"] + p["n"]]
-                    cut += p["n"]
-                out.append((b"\n".join(lines) if cut else text, len(lines) + cut, total, len(parts or []), cut))
+                total, n, cut, whole = len(chunks(lines)), len(lines), 0, 0
+                if parts:
+                    goes = np.zeros(n, bool)
+                    for p in parts:
+                        goes[p["start"] : p["start"] + p["n"]] = True
+                    cut, whole = int(goes.sum()), sum(1 for s, k, _ in eligible(text) if goes[s : s + k].all())
+                    text = b"\n".join(x for x, g in zip(lines, goes.tolist(), strict=True) if not g)
+                out.append((text, n, total, whole, cut))
             columns = list(zip(*out, strict=True)) or [()] * 5
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(columns[0], pa.binary()), *(pa.array(c, pa.int64()) for c in columns[1:])],

@@ -84,6 +84,24 @@ def test_line_dedup(docs, none):
     assert line_dedup.remove_repeated_chunks(none).count() == 0
 
 
+def test_line_dedup_finds_passages_inside_other_texts(spark):
+    passages = [[sentence(8) for _ in range(n)] for n in (2, 3, 3, 5, 9)]
+    passages[2].insert(1, " ")
+    texts = ["\n".join([sentence(6) for _ in range(k % 3)] + passages[k % 5] + [sentence(7) for _ in range(k % 4)]) for k in range(40)]
+    seen, want = set(), {}
+    for i, t in enumerate(texts):
+        lines, gone = t.split("\n"), set()
+        worded = [k for k, x in enumerate(lines) if x.strip()]
+        for a, b in zip(worded, worded[1:]):
+            pair = tuple(lines[a : b + 1])
+            gone |= set(range(a, b + 1)) if pair in seen else set()
+            seen.add(pair)
+        want[i] = (len(gone), "\n".join(x for k, x in enumerate(lines) if k not in gone))
+        assert i < 5 or gone == set(range(i % 3, i % 3 + len(passages[i % 5])))
+    got = line_dedup.remove_repeated_chunks(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {r.doc_id: (r.n_removed_lines, r.text) for r in got} == want
+
+
 def test_chunks_resist_shifts():
     lines = [sentence(5).encode() for _ in range(200)]
     a, b = ({tuple(x[s : s + n]) for s, n in line_dedup.chunks(x)} for x in (lines, [b"new", *lines]))
