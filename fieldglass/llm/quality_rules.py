@@ -2,8 +2,9 @@
 
 Counting rules fail short and repetitive texts. Of the rest, a document is kept if the
 Jensen-Shannon distance of its character classes and of its common words to the nearest
-language reference stays below a threshold; texts under a minimum length are not judged
-by that distance. The references are the summed histograms, by language, of every
+language reference stays below a threshold. That of the characters does not judge texts
+under a minimum length; that of the words judges every text, and is larger for short ones,
+as sampling noise is. The references are the summed histograms, by language, of every
 document that passes the counting rules.
 """
 
@@ -26,9 +27,10 @@ COMMON_WORDS = (
 CLASSES = ("lower", "upper", "digit", "space", "ascii_other", "non_ascii")
 #: Rules on counts.
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
-#: Thresholds on the distance (0 to 1) and the lengths from which they hold.
+#: Threshold on the class distance (0 to 1) and the length from which it holds.
 MAX_CLASS_DISTANCE, MIN_CLASS_CHARS = 0.27, 200
-MAX_WORD_DISTANCE, MIN_WORD_WORDS = 0.30, 200
+#: Threshold on the word distance of texts of FULL_WORDS words and more; for n fewer, its square is WORD_NOISE (1/n - 1/FULL_WORDS) larger.
+MAX_WORD_DISTANCE, FULL_WORDS, WORD_NOISE = 0.30, 200, 2.0
 #: Words that a language needs, over all documents, to serve as a reference.
 MIN_REFERENCE_WORDS = 1000
 
@@ -193,8 +195,9 @@ def judge(docs: DataFrame, keep: list[str] | None = None, common: tuple[str, ...
     by_class = F.least(*[class_distance(c) for c, _ in known.values()], F.lit(1.0)) if known else far
     by_word = F.least(*[word_distance(w) for _, w in known.values() if w], F.lit(1.0)) if any(w for _, w in known.values()) else far
     judged = counts.withColumn("class_distance", by_class).withColumn("word_distance", by_word)
+    noise = F.when((F.col("n_words") > 0) & (F.col("n_words") < FULL_WORDS), F.lit(WORD_NOISE) / F.col("n_words") - F.lit(WORD_NOISE / FULL_WORDS)).otherwise(F.lit(0.0))
     odd = ((F.col("n_chars") >= MIN_CLASS_CHARS) & (F.col("class_distance") > MAX_CLASS_DISTANCE)) | (
-        (F.col("n_words") >= MIN_WORD_WORDS) & (F.col("word_distance") > MAX_WORD_DISTANCE)
+        F.col("word_distance") > F.sqrt(F.lit(MAX_WORD_DISTANCE**2) + noise)
     )
     judged = judged.withColumn("kept", ~F.col("base_failed") & ~odd)
     return judged.select(

@@ -123,6 +123,17 @@ def test_quality_rules(docs, none):
     assert not any(r.kept and r.base_failed for r in quality_rules.judge(docs).collect()) and quality_rules.judge(none).count() == 0
 
 
+def test_quality_rules_judge_short_texts_by_words(spark):
+    common, rng = quality_rules.COMMON_WORDS[0].split(), random.Random(1)
+    rare = ["".join(rng.choice("abcdefgh") for _ in range(rng.choice((2, 3, 4)))) + "x" for _ in range(900)]
+    mixed = lambda n: " ".join(common[(2 * (i // 5) + i % 5) % len(common)] if i % 5 < 2 else rng.choice(rare) for i in range(n))
+    plain = [(i, mixed(n), "en") for i, n in enumerate((60, 80, 120, 180, 400) * 8)]
+    odd = [(100 + n, " ".join(rng.sample(rare, n)), "en") for n in (60, 120, 199, 300)]
+    got = quality_rules.judge(spark.createDataFrame(plain + odd, "doc_id long, text string, lang string")).collect()
+    assert not any(r.base_failed for r in got)
+    assert sorted(r.doc_id for r in got if r.kept) == [i for i, *_ in plain]
+
+
 def test_warc_round_trip(spark, tmp_path):
     rows = [(1, "http://a/\r\nb", "x"), (2, None, "x"), (3, "u", None), (4, "u", ""), (5, "u", "é" * 70000), (None, "u", "x"), (6, "u", "solo")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
