@@ -75,7 +75,7 @@ def tile(item: list[int], text: list[int], least: int = SEED_TOKENS) -> list[tup
             if not any(in_item[p : p - k]) and not any(in_text[t : t - k]):
                 in_item[p : p - k] = in_text[t : t - k] = [True] * -k
                 tiles.append((p, t, -k))
-        if n == least:
+        if n == least and not found:  # an overlapped match may have left a free part
             return tiles
         n = max(least, n // 2)
 

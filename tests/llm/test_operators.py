@@ -238,6 +238,12 @@ def test_decontamination(spark, docs, none):
     assert decontamination.contamination(none, bench).count() == 0 and not any(r.contaminated for r in decontamination.contamination(docs, bench.limit(0)).collect())
 
 
+def test_tiles_fill_what_an_overlapped_match_leaves():
+    item = list(range(20))
+    text = [*item[:8], 90, *item[5:14], 91]
+    assert sorted(decontamination.tile(item, text, 5)) == [(0, 0, 5), (5, 9, 9)]
+
+
 def test_substring_dedup(docs, none):
     ordered = sorted(ROWS[:-2], key=lambda r: (r[0] is not None, r[0] or 0))
     seen, want = set(), {}
