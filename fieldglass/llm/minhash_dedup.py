@@ -27,7 +27,7 @@ from fieldglass.llm.common import WordHashes, mix, multipliers, short_batches, s
 from fieldglass.llm.components import connected_components
 
 SHINGLE_WORDS, MIN_PERCENT = 5, 75
-#: With 24 coordinates a pair of similarity 0.75 has fewer than 7 matches once in about 5 million.
+#: With 24 coordinates a pair of similarity 0.75 has fewer than 7 matches with probability 3.9e-7, once in about 2.6 million; such a pair is never tried.
 COORDINATES, MIN_MATCHES = 24, 7
 #: Rounds against one member of each posting before all pairs across components are tried,
 #: earlier if there are no more such pairs than this many per class.
