@@ -56,7 +56,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("mixing", mix),
 ]
 
-#: SQL cannot express the stages; tests hold them against brute force.
+#: SQL cannot express the stages. Tests hold their operators against brute force, but of the pipeline as a whole only counts and columns.
 ORACLE_SQL = None
 
 
