@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from fieldglass.functions import geo
 from fieldglass.functions.text import search_tokens
-from fieldglass.operators.graph import cut
+from fieldglass.operators.staging import stage
 
 MAX_TERMS = 6
 # Radii in metres that a search widens through.
@@ -83,7 +83,7 @@ def decayed(df: DataFrame, by: str, value: Column, age: Column, keep: int) -> Da
 
 def placed(df: DataFrame, order: list[Column]) -> DataFrame:
     """Every row with its place in the order, from 1; the order tells rows apart. Ranges are sorted each on its own and offset by the rows before them."""
-    parts = cut(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("at_", F.monotonically_increasing_id()))
+    parts = stage(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("at_", F.monotonically_increasing_id()), "placed")
     sizes = sorted(tuple(r) for r in parts.groupBy(F.shiftright("at_", 33).alias("part_")).count().collect())
     before = list(accumulate([n for _, n in sizes], initial=0))
     offsets = df.sparkSession.createDataFrame([(p, b) for (p, _), b in zip(sizes, before, strict=False)], "part_ long, before_ long")
