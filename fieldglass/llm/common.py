@@ -6,69 +6,40 @@ exactly what ``bytes.split()`` yields on UTF-8 text.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fieldglass.operators.staging import scratch_path, shared_dir, stage, unstage  # noqa: F401
+
 #: Whitespace that separates words.
 SPACE = " \t\n\x0b\f\r"
 #: Rows per Arrow batch: texts reach 100 kB and more, so batches stay short.
 BATCH_ROWS = 256
-#: Deletes the shuffle files of a query when it ends.
-SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Distinct words remembered by one Python worker.
 MEMO_WORDS = 200_000
+#: A key is hot beyond a share of all rows: one part in this many of a shuffle partition's.
+HOT_SHARE = 4
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir).
+def short_batches(spark: SparkSession) -> None:
+    """Bound the memory of Python workers: few rows per Arrow batch. The setting stays in the session, since plans run later."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
-    Only where it is unset, and only on a local master, a temporary folder
-    takes its place.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if found:
-        return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    made = "file://" + tempfile.mkdtemp(prefix="fieldglass-")
-    spark.sparkContext.setCheckpointDir(made)
-    return spark.sparkContext.getCheckpointDir().rstrip("/")
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder, deleted when the application ends."""
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    jvm = spark._jvm
-    hadoop = jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
-    return path
-
-
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write a DataFrame to the shared folder and read it back.
-
-    This cuts the lineage: a lost executor costs a re-read, not a recomputation. The shuffle
-    files behind the table are deleted once it is written.
-    """
-    spark = df.sparkSession
-    path = scratch_path(spark, name)
-    before = spark.conf.get(SHUFFLE_CLEANUP)
-    spark.conf.set(SHUFFLE_CLEANUP, "true")
-    try:
-        df.write.option("compression", "zstd").parquet(path)
-    finally:
-        spark.conf.set(SHUFFLE_CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(path)
 
+def join_hot(big: DataFrame, small: DataFrame, keys: list[str], times: str) -> DataFrame:
+    """Inner equi-join of `big` with `small`, a staged table of one row per key that says how many rows of `big` have it.
 
-def short_batches(spark: SparkSession) -> None:
-    """Bound the memory of Python workers: few rows per Arrow batch."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    Keys of more rows than a fraction of a partition's even share would land in one task each.
+    There are at most HOT_SHARE of them per shuffle partition, so their rows of `small` are
+    broadcast and the rows of `big` stay where they are; all other keys are shuffled.
+    """
+    total = small.agg(F.sum(times)).first()[0] or 0
+    bound = max(256, total // (HOT_SHARE * int(big.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    hot, cold = small.where(F.col(times) > bound), small.where(F.col(times) <= bound)
+    rest = big.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(cold, keys)
+    return big.join(F.broadcast(hot), keys).unionByName(rest)
 
 
 def word_count(text: Column) -> Column:

@@ -1,4 +1,4 @@
-"""Connected components of an edge table by minimum labels and pointer jumping."""
+"""Connected components of links that arrive in rounds."""
 
 from __future__ import annotations
 
@@ -6,26 +6,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldglass.llm.common import stage
+from fieldglass.operators.graph import components
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
-    """node, component (the smallest node reachable) for every node of edges (a, b), without nulls.
+    """node, component (the smallest node reachable) for every node of edges (a, b), without nulls."""
+    return components(edges, "a", "b")
 
-    Each round takes the smallest label among a node's neighbours and then that label's own
-    label, so paths shorten geometrically; labels go through the shared folder each round,
-    and only a count of changes comes to the driver.
-    """
-    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    both = stage(both.where("a <> b").distinct(), "edges")
-    labels = stage(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("component")).withColumnRenamed("a", "node"), "labels")
-    while True:
-        near = both.join(labels.select(F.col("node").alias("b"), F.col("component").alias("c")), "b").groupBy("a").agg(F.min("c").alias("c"))
-        better = labels.join(near, F.col("node") == F.col("a")).select("node", F.col("component").alias("old"), F.least("component", "c").alias("component"))
-        hop = labels.select(F.col("node").alias("component"), F.col("component").alias("next"))
-        jumped = better.join(hop, "component", "left").select(
-            "node", "old", F.least("component", F.coalesce("next", "component")).alias("component")
-        )
-        moved = stage(jumped, "labels")
-        labels = moved.select("node", "component")
-        if moved.where("old <> component").isEmpty():
-            return labels
+
+def joined_labels(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """`labels` (node, component) after more links (a, b): the components that the links join are the only ones that change."""
+    ends = links.select("a", "b").join(labels.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a", "left")
+    ends = ends.join(labels.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b", "left")
+    between = ends.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+    merged = connected_components(between).select(F.col("node").alias("component"), F.col("component").alias("new"))
+    nodes = links.select(F.col("a").alias("node")).union(links.select(F.col("b").alias("node"))).distinct().join(labels, "node", "left_anti")
+    everyone = labels.unionByName(nodes.withColumn("component", F.col("node")))
+    return stage(everyone.join(merged, "component", "left").select("node", F.coalesce("new", "component").alias("component")), "labels")

@@ -1,17 +1,21 @@
-"""A count-min sketch built by partitions, merged, and kept as the bits of counters of two or more.
+"""A count-min sketch built by partitions and merged, asked whether a value may be repeated.
 
-Counters saturate at 2: all that is asked of them is whether a value may be repeated. The
-estimate never falls below the true count, so no repeated value is lost; when the sketch
-fills up it only filters less.
+Counters saturate at 2. The estimate never falls below the true count, so no repeated value is
+lost. Where the values expected fit, the merged sketch is one table of bits that is broadcast.
+Beyond that it is split by ranges of a hash, as many as the values need: values go to their
+range, are counted and tested there, and the answers go back to the texts by a key. The share
+of unrepeated values let through thus stays flat however large the input is.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+import math
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldglass.llm.common import mix, multipliers
@@ -23,6 +27,10 @@ BLOCK_BITS = 18
 #: Values gathered before a partial sketch is sent on.
 FLUSH = 1 << 19
 SCHEMA = "block int, counters binary"
+#: Values up to which the broadcast bits let less than 5 % of the unrepeated ones through.
+CAPACITY = 1 << 24
+#: Values in one range beyond that.
+RANGE_VALUES = 1 << 20
 
 
 def slots(values: np.ndarray, width_bits: int = WIDTH_BITS) -> np.ndarray:
@@ -91,3 +99,120 @@ def maybe_repeated(values: np.ndarray, bits: np.ndarray, width_bits: int = WIDTH
     at = slots(values, width_bits)
     hit = (bits[(at >> np.uint64(3)).astype(np.int64)] >> (np.uint8(7) - (at & np.uint64(7)).astype(np.uint8))) & np.uint8(1)
     return hit.reshape(DEPTH, len(values)).all(axis=0)
+
+
+def spread(batches: Iterator[pa.RecordBatch], prints: Callable[[bytes | None], np.ndarray], bits: int) -> Iterator[pa.RecordBatch]:
+    """range, value, key, at, known of each print of each (key, text).
+
+    A value that repeats among those gathered is known to: its places go out as answers (range
+    -1), and the range gets the value once, marked. A value that fills a third of a table
+    thus reaches its range once per gathering, not once per row.
+    """
+    waiting: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    size = 0
+
+    def flush() -> pa.RecordBatch:
+        v, k, o = (np.concatenate(x) for x in zip(*waiting, strict=True))
+        order = np.argsort(v, kind="stable")
+        v, k, o = v[order], k[order], o[order]
+        first = np.concatenate([[True], v[1:] != v[:-1]])
+        many = ~first | np.concatenate([~first[1:], [False]])
+        zone = (mix(v) >> np.uint64(64 - bits)).astype(np.int32) if bits else np.zeros(len(v), np.int32)
+        out = [np.concatenate([c[many], c[first]]) for c in (np.where(many, -1, zone).astype(np.int32), v.view(np.int64), k, o)]
+        out[0][int(many.sum()) :] = zone[first]
+        known = np.concatenate([np.zeros(int(many.sum()), bool), many[first]])
+        return pa.RecordBatch.from_arrays([*map(pa.array, out), pa.array(known)], names=["range", "value", "key", "at", "known"])
+
+    for batch in batches:
+        for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            v = prints(text)
+            if len(v):
+                waiting.append((v, np.full(len(v), key, np.int64), np.arange(len(v), dtype=np.int32)))
+                size += len(v)
+        if size >= FLUSH:
+            yield flush()
+            waiting, size = [], 0
+    if size:
+        yield flush()
+
+
+def answered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """key, at of the values whose estimate is two or more, range by range in sorted order; answers known before pass through."""
+    zone, held = None, []
+
+    def done() -> pa.RecordBatch:
+        v, k, o, known = (np.concatenate(x) for x in zip(*held, strict=True))
+        v = v.view(np.uint64)
+        if zone == -1:
+            hit = np.ones(len(v), bool)
+        else:
+            width = max(8, math.ceil(math.log2(4 * len(v))))
+            at = slots(v, width).astype(np.int64)
+            n = np.bincount(at, minlength=DEPTH << width) + np.bincount(at[np.tile(known, DEPTH)], minlength=DEPTH << width)
+            hit = (n[at].reshape(DEPTH, len(v)) >= 2).all(axis=0) & ~known
+        return pa.RecordBatch.from_arrays([pa.array(k[hit]), pa.array(o[hit])], names=["key", "at"])
+
+    for batch in batches:
+        z = batch.column(0).to_numpy()
+        columns = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(1, 5)]
+        cuts = np.concatenate([[0], np.flatnonzero(np.diff(z)) + 1, [len(z)]])
+        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            if b > a:
+                # Answers known before (-1) need no counting and are passed on piece by piece.
+                if held and (z[a] != zone or zone == -1):
+                    yield done()
+                    held = []
+                zone = int(z[a])
+                held.append([c[a:b] for c in columns])
+    if held:
+        yield done()
+
+
+Tester = Callable[[np.ndarray, list[int] | None], np.ndarray]
+
+
+def by_bits(bits: Broadcast) -> Tester:
+    maybe = np.frombuffer(bits.value, np.uint8)
+    return lambda values, hits: maybe_repeated(values, maybe)
+
+
+def by_answers() -> Tester:
+    def test(values: np.ndarray, hits: list[int] | None) -> np.ndarray:
+        out = np.zeros(len(values), bool)
+        at = np.array(hits or [], np.int64)
+        out[at[at < len(values)]] = True
+        return out
+
+    return test
+
+
+def prefiltered(
+    texts: DataFrame, prints: Callable[[], Callable[[bytes | None], np.ndarray]], key: Column, per_byte: float, capacity: int = CAPACITY
+) -> tuple[DataFrame, Callable[[], Tester]]:
+    """`texts` with a last column `hits_`, and what makes, on a worker, a function of (prints of a text, its hits_) to a mask of those that may be repeated.
+
+    prints: makes, once per worker, a function from a text to its values. key: identifies a
+    text; where two share it, both get the answers of either. per_byte: values to expect of a
+    byte of text.
+    """
+    spark = texts.sparkSession
+    expected = int((texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0) * per_byte)
+    if expected <= capacity:
+
+        def partials(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            of = prints()
+            yield from partial(of(t) for b in batches for t in b.column(0).to_pylist())
+
+        bits = spark.sparkContext.broadcast(repeated_bits(texts.select("text").mapInArrow(partials, SCHEMA)))
+        return texts.withColumn("hits_", F.lit(None).cast("array<int>")), lambda: by_bits(bits)
+    range_bits = max(0, math.ceil(math.log2(expected / min(RANGE_VALUES, capacity))))
+
+    def spreading(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from spread(batches, prints(), range_bits)
+
+    values = texts.select(key.alias("key"), "text").mapInArrow(spreading, "range int, value long, key long, at int, known boolean")
+    # Answers known before are dealt by their key, the rest by range.
+    dealt = values.repartition(F.when(F.col("range") < 0, F.xxhash64("key")).otherwise(F.xxhash64("range"))).sortWithinPartitions("range")
+    hits = dealt.mapInArrow(answered, "key long, at int").groupBy("key").agg(F.collect_set("at").alias("hits_"))
+    keyed = texts.withColumn("key_", key)
+    return keyed.join(hits, F.col("key_") == F.col("key"), "left").drop("key", "key_"), by_answers
