@@ -1,35 +1,18 @@
-"""Suffix arrays by induced sorting, and permuted longest common prefixes, in vector operations.
+"""Suffix arrays by induced sorting, and permuted longest common prefixes.
 
 Suffixes are classified as rising (S) or falling (L); the leftmost S suffixes of each run are
 sorted by inducing, named, and if names repeat their order comes from the reduced string,
-recursively. Inducing scans bucket by bucket: all entries of a bucket that are known pass on
-their predecessors at once, and runs of one symbol take a wave each.
+recursively. A string of bytes has few buckets, so inducing scans it bucket by bucket: all
+entries of a bucket that are known pass on their predecessors at once, and runs of one symbol
+take a wave each. Reduced strings have as many buckets as names and are scanned entry by entry.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
-#: Alphabets above this have too many buckets to scan one by one; such a (reduced) string is
-#: ordered by doubling its ranks.
-MAX_BUCKETS = 4096
-
-
-def doubled(x: np.ndarray) -> np.ndarray:
-    """Suffix array by prefix doubling, for reduced strings of many names."""
-    n = len(x)
-    rank = np.unique(x, return_inverse=True)[1].astype(np.int64)
-    k = 1
-    while True:
-        second = np.zeros(n, np.int64)
-        second[: n - k] = rank[k:] + 1
-        key = rank * (n + 1) + second
-        order = np.argsort(key, kind="stable")
-        rank = np.empty(n, np.int64)
-        rank[order] = np.concatenate([[0], np.cumsum(key[order][1:] != key[order][:-1])])
-        if rank[order[-1]] == n - 1:
-            return order
-        k *= 2
+#: Symbols of a string of bytes: the bytes, a separator and the sentinel.
+BYTE_SYMBOLS = 258
 
 
 def rising(x: np.ndarray) -> np.ndarray:
@@ -45,7 +28,7 @@ def dealt(queue: dict[int, list[np.ndarray]], at: np.ndarray, symbols: np.ndarra
     """Append positions to the queues of their symbols, in order."""
     if not len(at):
         return
-    order = np.argsort(symbols.astype(np.uint16), kind="stable")  # by radix; there are at most MAX_BUCKETS
+    order = np.argsort(symbols.astype(np.uint16), kind="stable")  # by radix
     at, symbols = at[order], symbols[order]
     cuts = np.flatnonzero(np.diff(symbols)) + 1
     for s, part in zip(symbols[np.concatenate([[0], cuts])].tolist(), np.split(at, cuts), strict=True):
@@ -94,6 +77,47 @@ def induce(x: np.ndarray, up: np.ndarray, lms: np.ndarray, used: np.ndarray) ->
     return np.concatenate(out)[::-1]
 
 
+def induce_names(x: np.ndarray, up: np.ndarray, lms: np.ndarray, used: np.ndarray) -> np.ndarray:
+    """As induce, for dense names as symbols: two linear scans over the suffix array itself."""
+    n, size = len(x), len(used)
+    tops = np.cumsum(np.bincount(x, minlength=size))
+    heads = (tops - np.bincount(x, minlength=size)).tolist()
+    # The seeds stand at the ends of their buckets, in order.
+    seeds = x[lms]
+    order = np.argsort(seeds, kind="stable")
+    lms, seeds = lms[order], seeds[order]
+    last_of = np.searchsorted(seeds, np.arange(size), side="right")
+    start = np.full(n, -1, np.int64)
+    start[tops[seeds] - last_of[seeds] + np.arange(len(lms))] = lms
+    sa, symbols = start.tolist(), x.tolist()
+    # before[i]: the predecessor of i if it falls (rises), else -1.
+    position = np.arange(-1, n - 1)
+    falls = np.where(np.concatenate([[False], ~up[:-1]]), position, -1).tolist()
+    for p in sa:
+        if p >= 0:
+            q = falls[p]
+            if q >= 0:
+                c = symbols[q]
+                sa[heads[c]] = q
+                heads[c] += 1
+    # Of the S suffixes only the sentinel keeps its place; the others are induced anew.
+    falling = np.array(sa)
+    falling[(falling >= 0) & up[falling]] = -1
+    falling[0] = n - 1
+    sa = falling.tolist()
+    rises = np.where(np.concatenate([[False], up[:-1]]), position, -1).tolist()
+    ends = (tops - 1).tolist()
+    for i in range(n - 1, -1, -1):
+        p = sa[i]
+        if p >= 0:
+            q = rises[p]
+            if q >= 0:
+                c = symbols[q]
+                sa[ends[c]] = q
+                ends[c] -= 1
+    return np.array(sa)
+
+
 def equal_substrings(x: np.ndarray, a: np.ndarray, b: np.ndarray, length: np.ndarray) -> np.ndarray:
     """Whether x[a:a+length] == x[b:b+length], pair by pair."""
     same = np.ones(len(a), bool)
@@ -106,17 +130,16 @@ def equal_substrings(x: np.ndarray, a: np.ndarray, b: np.ndarray, length: np.nda
     return same
 
 
-def suffix_array(x: np.ndarray) -> np.ndarray:
-    """Suffix array of a string of non-negative integers that ends with its only 0."""
+def suffix_array(x: np.ndarray, names: bool = False) -> np.ndarray:
+    """Suffix array of a string of bytes (as symbols below BYTE_SYMBOLS), or of dense names, that ends with its only 0."""
     n = len(x)
     if n == 1:
         return np.zeros(1, np.int64)
-    used = np.unique(x)
-    if len(used) > MAX_BUCKETS or used[-1] >= 1 << 16:
-        return doubled(x)
+    used = np.arange(int(x.max()) + 1) if names else np.unique(x)
+    scan = induce_names if names else induce
     up = rising(x)
     lms = np.flatnonzero(up[1:] & ~up[:-1]) + 1
-    order = induce(x, up, lms, used)
+    order = scan(x, up, lms, used)
     is_lms = np.zeros(n, bool)
     is_lms[lms] = True
     order = order[is_lms[order]]
@@ -132,8 +155,11 @@ def suffix_array(x: np.ndarray) -> np.ndarray:
     name[order] = np.concatenate([[0], np.cumsum(~same)])
     reduced = name[lms]
     if reduced.max() < len(lms) - 1:
-        order = lms[suffix_array(reduced)]
-    return induce(x, up, order, used)
+        order = lms[suffix_array(reduced, names=True)]
+    else:
+        order = np.empty(len(lms), np.int64)
+        order[reduced] = lms
+    return scan(x, up, order, used)
 
 
 def permuted_lcp(x: np.ndarray, sa: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

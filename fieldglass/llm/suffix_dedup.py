@@ -6,11 +6,16 @@ count-min sketch of the anchors keeps what may repeat. A stretch of windows unde
 that occurs twice as a whole is repeated as a whole; where the stretches of an anchor differ,
 a shard's suffix array (induced sorting) and permuted common prefixes tell which of
 their windows occur twice.
+
+An anchor of very many differing stretches is dealt out again by a longer one. A window holds
+272 bytes beside its anchor, r of them before it, and equal windows have equal r. So it has
+either the 136 bytes before the anchor or the 136 after it, and is filed under the anchor
+grown by those; what is left open halves each time, until equal anchors mean equal windows.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -19,15 +24,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldglass.llm import sketch
-from fieldglass.llm.common import minimizers, mix, multipliers, short_batches, stage
+from fieldglass.llm.common import join_hot, minimizers, mix, multipliers, short_batches, stage, unstage
 from fieldglass.llm.suffix_array import repeated_starts
 
 WIDTH, ANCHOR_BYTES = 400, 128
 #: Bytes of differing stretches in one suffix array.
 SHARD_BYTES = 1 << 20
-#: An anchor with more differing stretches is not gathered in one shard: its windows are
-#: counted by their hashes, spread over all tasks.
-HOT_STRETCHES = 512
+#: An anchor with more differing stretches is not gathered in one shard, but grown and dealt out again.
+MAX_STRETCHES = 1024
+#: Bytes of a window beside its anchor.
+OPEN_BYTES = WIDTH - ANCHOR_BYTES
+#: Anchors to expect of a byte of text.
+ANCHORS_PER_BYTE = 1 / 100
 TABLE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
@@ -49,55 +57,55 @@ def rolling(data: np.ndarray, width: int) -> np.ndarray:
         size *= 2
 
 
-def stretches(text: bytes | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Anchor hash, first window start and number of windows of each stretch."""
+def stretches(text: bytes | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Anchor hash, first window start, number of windows and place of the anchor of each stretch."""
     n = len(text or b"") - WIDTH + 1
     if n <= 0:
-        return np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
+        return np.empty(0, np.uint64), *(np.empty(0, np.int64),) * 3
     grams = rolling(np.frombuffer(text, np.uint8), ANCHOR_BYTES)
-    at = minimizers(grams, WIDTH - ANCHOR_BYTES + 1)
+    at = minimizers(grams, OPEN_BYTES + 1)
     first = np.concatenate([[0], np.flatnonzero(np.diff(at)) + 1])
-    return grams[at[first]], first, np.diff(np.append(first, n))
+    return grams[at[first]], first, np.diff(np.append(first, n)), at[first]
 
 
-def candidates(docs: DataFrame) -> DataFrame:
-    """row, anchor, key, start, n, bytes: each stretch whose anchor is estimated repeated."""
-    spark = docs.sparkSession
-    texts = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.col("text").cast("binary").alias("text"))
+def prints() -> Callable[[bytes | None], np.ndarray]:
+    return lambda text: stretches(text)[0]
 
-    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from sketch.partial(stretches(t)[0] for b in batches for t in b.column(0).to_pylist())
 
-    bits = spark.sparkContext.broadcast(sketch.repeated_bits(texts.select("text").mapInArrow(partial, sketch.SCHEMA)))
+def candidates(docs: DataFrame, capacity: int) -> DataFrame:
+    """doc_id, text_hash, anchor, key, start, n, place, bytes: each stretch whose anchor is estimated repeated; place: of the anchor in the bytes."""
+    texts = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.col("text").cast("binary").alias("text"))
+    table, tester = sketch.prefiltered(texts, prints, F.xxhash64("doc_id", "text_hash"), ANCHORS_PER_BYTE, capacity)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        maybe = np.frombuffer(bits.value, np.uint8)
+        test = tester()
         for batch in batches:
-            row, anchor, key, start, size, data = [], [], [], [], [], []
-            for i, text in enumerate(batch.column(2).to_pylist()):
-                f, s, n = stretches(text)
+            row, anchor, key, start, size, place, data = [], [], [], [], [], [], []
+            for i, (text, hits) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
+                f, s, n, at = stretches(text)
                 if not len(f):
                     continue
-                for j in np.flatnonzero(sketch.maybe_repeated(f, maybe)).tolist():
+                for j in np.flatnonzero(test(f, hits)).tolist():
                     part = text[s[j] : s[j] + n[j] + WIDTH - 1]
                     row.append(i)
                     anchor.append(f[j])
                     key.append(xxhash.xxh3_64_intdigest(part) - (1 << 63))
                     start.append(s[j])
                     size.append(n[j])
+                    place.append(at[j] - s[j])
                     data.append(part)
             if row:
                 take = pa.array(row)
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).take(take), batch.column(1).take(take), pa.array(np.array(anchor).view(np.int64)), pa.array(key, pa.int64()),
-                        pa.array(start, pa.int64()), pa.array(size, pa.int32()), pa.array(data, pa.binary()),
+                        pa.array(start, pa.int64()), pa.array(size, pa.int32()), pa.array(place, pa.int32()), pa.array(data, pa.binary()),
                     ],
-                    names=["doc_id", "text_hash", "anchor", "key", "start", "n", "bytes"],
+                    names=["doc_id", "text_hash", "anchor", "key", "start", "n", "place", "bytes"],
                 )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return stage(texts.mapInArrow(run, f"doc_id {kind}, text_hash long, anchor long, key long, start long, n int, bytes binary"), "stretches")
+    return stage(table.mapInArrow(run, f"doc_id {kind}, text_hash long, anchor long, key long, start long, n int, place int, bytes binary"), "stretches")
 
 
 def runs(at: np.ndarray) -> list[dict[str, int]]:
@@ -137,51 +145,102 @@ def sharded(kinds: DataFrame) -> DataFrame:
     return dealt.mapInArrow(run, "anchor long, key long, ranges array<struct<s:long,n:long>>").where(F.size("ranges") > 0)
 
 
-def counted(kinds: DataFrame) -> DataFrame:
-    """anchor, key, ranges by counting window hashes, for anchors of very many stretches."""
+PARTS = "root_anchor long, root_key long, shift long, asked boolean, times long, before int, after int, anchor long, key long, n int, place int, bytes binary"
+
+
+def grown(parts: DataFrame) -> DataFrame:
+    """Each part of a stretch cut in two: the windows with more bytes before the anchor, and those with more after it.
+
+    before and after: bytes that the anchor has grown by; a window starts place - j bytes before the anchor.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = [c.split()[0] for c in PARTS.split(", ")]
         for batch in batches:
-            for a, k, once, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                h = rolling(np.frombuffer(data, np.uint8), WIDTH).view(np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(h), a)), pa.array(np.full(len(h), k)), pa.array(np.full(len(h), once)), pa.array(np.arange(len(h), dtype=np.int32)), pa.array(h)],
-                    names=["anchor", "key", "once", "j", "window"],
-                )
-
-    single = kinds.select("anchor", "key", F.expr("times = 1").alias("once"), "bytes").mapInArrow(run, "anchor long, key long, once boolean, j int, window long")
-    single = stage(single, "windows")
-    twice = single.groupBy("anchor", "window").agg(F.count(F.lit(1)).alias("times")).where("times > 1").drop("times")
-    # A stretch that occurs twice goes as a whole: its windows count, but need no answer.
-    asked = single.where("once").select("anchor", "key", "j", "window").join(twice, ["anchor", "window"])
-    return asked.groupBy("anchor", "key").agg(F.collect_list(F.struct(F.col("j").cast("long").alias("s"), F.lit(1).cast("long").alias("n"))).alias("ranges"))
+            out: list[dict] = []
+            for r in batch.to_pylist():
+                half = (OPEN_BYTES - r["before"] - r["after"]) // 2
+                # Windows j < cut have more than `half` of the open bytes before the anchor.
+                cut = min(max(r["place"] - r["before"] - half, 0), r["n"])
+                for lo, hi, before, after in ((0, cut, r["before"] + half + 1, r["after"]), (cut, r["n"], r["before"], OPEN_BYTES - r["before"] - half)):
+                    if lo < hi:
+                        data, place = r["bytes"][lo : hi + WIDTH - 1], r["place"] - lo
+                        fixed = data[place - before : place + ANCHOR_BYTES + after]
+                        anchor = xxhash.xxh3_64_intdigest(fixed, seed=before) - (1 << 63)
+                        key = xxhash.xxh3_64_intdigest(data) - (1 << 63)
+                        out.append(r | {"shift": r["shift"] + lo, "before": before, "after": after, "anchor": anchor, "key": key, "n": hi - lo, "place": place, "bytes": data})
+            if out:
+                yield pa.RecordBatch.from_pylist([{c: o[c] for c in names} for o in out], schema=batch.schema)
+
+    return parts.mapInArrow(run, PARTS)
+
+
+def answers(parts: DataFrame) -> DataFrame:
+    """root_anchor, root_key, ranges (from the root's first window) of the asked parts, whose stretches meet under `anchor`.
+
+    parts: PARTS. A part that occurs twice is repeated as a whole; the others of an anchor are
+    compared in a shard, or grown if they are too many. Each round halves what is open of a
+    window, so there are ten at most.
+    """
+    found = []
+    while True:
+        kinds = stage(parts.groupBy("anchor", "key").agg(F.sum("times").alias("times"), F.first("bytes").alias("bytes")), "kinds")
+        several = kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds"), F.min("times").alias("least")).where("kinds > 1 and least = 1")
+        several = stage(several, "several")
+        ranges = stage(sharded(join_hot(kinds, several.where(F.col("kinds") <= MAX_STRETCHES), ["anchor"], "kinds")), "ranges")
+        asked = parts.where("asked").select("root_anchor", "root_key", "shift", "anchor", "key", F.col("n").cast("long").alias("n"))
+        whole = asked.join(kinds.where("times > 1").select("anchor", "key"), ["anchor", "key"])
+        found.append(whole.select("root_anchor", "root_key", F.array(F.struct(F.col("shift").alias("s"), "n")).alias("ranges")))
+        inside = asked.join(ranges.join(kinds.where("times = 1").select("anchor", "key"), ["anchor", "key"]), ["anchor", "key"])
+        found.append(inside.select("root_anchor", "root_key", F.transform("ranges", lambda r: F.struct((r["s"] + F.col("shift")).alias("s"), r["n"].alias("n"))).alias("ranges")))
+        hot = several.where(F.col("kinds") > MAX_STRETCHES)
+        if hot.isEmpty():
+            break
+        parts = stage(grown(join_hot(parts, hot, ["anchor"], "kinds").select(*[c.split()[0] for c in PARTS.split(", ")])), "parts")
+    out = found[0]
+    for f in found[1:]:
+        out = out.unionByName(f)
+    return out.groupBy("root_anchor", "root_key").agg(F.flatten(F.collect_list("ranges")).alias("ranges"))
 
 
 def removed_starts(found: DataFrame) -> DataFrame:
     """doc_id, text_hash, ranges: the window starts that are repeated, as ranges (s, n)."""
-    kinds = found.groupBy("anchor", "key").agg(F.count(F.lit(1)).alias("times"), F.first("bytes").alias("bytes"))
+    kinds = found.groupBy("anchor", "key").agg(F.count(F.lit(1)).alias("times"), F.first("n").alias("n"), F.first("place").alias("place"), F.first("bytes").alias("bytes"))
     kinds = stage(kinds, "kinds")
     several = stage(kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds"), F.min("times").alias("least")).where("kinds > 1 and least = 1"), "several")
-    # Stretches that all occur twice are repeated as they are; no array is needed.
-    few, many = (kinds.join(several.where(c), "anchor", "left_semi") for c in (f"kinds <= {HOT_STRETCHES}", f"kinds > {HOT_STRETCHES}"))
-    ranges = stage(sharded(few).unionByName(counted(many)), "ranges")
-    matter = kinds.select("anchor", "key", "times").join(ranges, ["anchor", "key"], "left").where("times > 1 or ranges is not null")
-    rows = found.select("doc_id", "text_hash", "anchor", "key", "start", "n").join(matter, ["anchor", "key"])
+    # Stretches that all occur twice are repeated as they are; no array is needed. One that occurs twice needs no answer.
+    few, many = several.where(F.col("kinds") <= MAX_STRETCHES), several.where(F.col("kinds") > MAX_STRETCHES)
+    ranges = sharded(join_hot(kinds, few, ["anchor"], "kinds"))
+    if not many.isEmpty():
+        zero = F.lit(0)
+        parts = join_hot(kinds, many, ["anchor"], "kinds").select(
+            F.col("anchor").alias("root_anchor"), F.col("key").alias("root_key"), zero.cast("long").alias("shift"), F.expr("times = 1").alias("asked"), "times",
+            zero.alias("before"), zero.alias("after"), "anchor", "key", "n", "place", "bytes",
+        )
+        more = answers(stage(grown(parts), "parts"))
+        ranges = ranges.unionByName(more.select(F.col("root_anchor").alias("anchor"), F.col("root_key").alias("key"), "ranges"))
+    ranges = stage(ranges, "ranges")
+    matter = stage(kinds.select("anchor", "key", "times").join(ranges, ["anchor", "key"], "left").where("times > 1 or ranges is not null"), "matter")
+    rows = join_hot(found.select("doc_id", "text_hash", "anchor", "key", "start", "n"), matter, ["anchor", "key"], "times")
     whole = F.array(F.struct(F.col("start").alias("s"), F.col("n").cast("long").alias("n")))
     part = F.transform("ranges", lambda r: F.struct((r["s"] + F.col("start")).alias("s"), r["n"].alias("n")))
     rows = rows.withColumn("ranges", F.when(F.col("times") > 1, whole).otherwise(part))
-    return stage(rows.groupBy("doc_id", "text_hash").agg(F.flatten(F.collect_list("ranges")).alias("ranges")), "gone")
+    out = stage(rows.groupBy("doc_id", "text_hash").agg(F.flatten(F.collect_list("ranges")).alias("ranges")), "gone")
+    unstage(kinds, several, ranges, matter)
+    return out
 
 
-def remove_repeated_bytes(docs: DataFrame) -> DataFrame:
+def remove_repeated_bytes(docs: DataFrame, capacity: int = sketch.CAPACITY) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept (binary) for each row of `docs` (doc_id, text).
 
     A byte goes if a 400-byte string over it also starts anywhere else, in this document or
     another; all occurrences go. Each row is a document of its own, so rows that repeat
-    remove each other. Null and empty texts are empty. Other columns are ignored.
+    remove each other. Null and empty texts are empty; a text of any length is read whole, in one
+    task. Other columns are ignored. capacity: anchors up to which the sketch is broadcast; it
+    does not change results.
     """
     short_batches(docs.sparkSession)
-    gone = removed_starts(candidates(docs)).select(F.col("doc_id").alias("gone_id"), F.col("text_hash").alias("gone_hash"), "ranges")
+    gone = removed_starts(candidates(docs, capacity)).select(F.col("doc_id").alias("gone_id"), F.col("text_hash").alias("gone_hash"), "ranges")
     texts = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.col("text").cast("binary").alias("text"))
     rows = texts.join(gone, F.col("doc_id").eqNullSafe(F.col("gone_id")) & (F.col("text_hash") == F.col("gone_hash")), "left")
 
