@@ -9,7 +9,7 @@ then, where the stretches of an anchor differ, their single windows.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -18,9 +18,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldglass.llm import sketch
-from fieldglass.llm.common import WordHashes, minimizers, mix, multipliers, short_batches, stage, windows
+from fieldglass.llm.common import WordHashes, join_hot, minimizers, mix, multipliers, short_batches, stage, unstage, windows
 
 WINDOW_WORDS, ANCHOR_WORDS = 20, 5
+#: Anchors to expect of a byte of text.
+ANCHORS_PER_BYTE = 1 / 40
 
 
 def window_hashes(five: np.ndarray, n: int) -> np.ndarray:
@@ -48,27 +50,25 @@ def identity(docs: DataFrame, *more: Column) -> DataFrame:
     return docs.select(F.col("doc_id"), F.xxhash64("text").alias("text_hash"), F.col("text").cast("binary").alias("text"), *more)
 
 
-def candidates(docs: DataFrame) -> DataFrame:
-    """A row for each stretch whose anchor is estimated repeated."""
-    spark = docs.sparkSession
-    texts = identity(docs)
+def prints() -> Callable[[bytes | None], np.ndarray]:
+    hashes = WordHashes()
+    return lambda text: stretches(text, hashes)[0]
 
-    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
-        yield from sketch.partial(stretches(t, hashes)[0] for b in batches for t in b.column(0).to_pylist())
 
-    bits = spark.sparkContext.broadcast(sketch.repeated_bits(texts.select("text").mapInArrow(partial, sketch.SCHEMA)))
+def candidates(docs: DataFrame, capacity: int) -> DataFrame:
+    """A row for each stretch whose anchor is estimated repeated."""
+    texts = identity(docs)
+    table, tester = sketch.prefiltered(texts, prints, F.xxhash64("doc_id", "text_hash"), ANCHORS_PER_BYTE, capacity)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
-        maybe = np.frombuffer(bits.value, np.uint8)
+        hashes, test = WordHashes(), tester()
         for batch in batches:
             row, anchor, start, key, wins = [], [], [], [], []
-            for i, text in enumerate(batch.column(2).to_pylist()):
+            for i, (text, hits) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
                 f, ends, five = stretches(text, hashes)
                 if not len(f):
                     continue
-                hit = np.flatnonzero(sketch.maybe_repeated(f, maybe))
+                hit = np.flatnonzero(test(f, hits))
                 if not len(hit):
                     continue
                 w = window_hashes(five, int(ends[1, -1]) + 1).view(np.int64)
@@ -92,7 +92,7 @@ def candidates(docs: DataFrame) -> DataFrame:
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, text_hash long, anchor long, key long, start int, windows array<long>"
-    return stage(texts.mapInArrow(run, schema), "stretches")
+    return stage(table.mapInArrow(run, schema), "stretches")
 
 
 def removed_starts(found: DataFrame) -> DataFrame:
@@ -100,34 +100,38 @@ def removed_starts(found: DataFrame) -> DataFrame:
     place = F.struct("doc_id", "text_hash", "start")
     kinds = found.groupBy("anchor", "key").agg(F.min(place).alias("first"), F.first("windows").alias("windows"), F.count(F.lit(1)).alias("n"))
     kinds = stage(kinds, "kinds")
-    several = kinds.groupBy("anchor").count().where("count > 1").select("anchor")
-    single = kinds.join(several, "anchor", "left_semi").select("anchor", "key", "first", F.posexplode("windows").alias("j", "window"))
+    several = stage(kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1"), "several")
+    single = join_hot(kinds, several, ["anchor"], "kinds").select("anchor", "key", "first", F.posexplode("windows").alias("j", "window"))
     here = F.struct("first.doc_id", "first.text_hash", (F.col("first.start") + F.col("j")).alias("start"))
     single = stage(single.select("anchor", "key", "j", "window", here.alias("here")), "windows")
-    earliest = single.groupBy("anchor", "window").agg(F.min("here").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    late = single.join(earliest, ["anchor", "window"]).where("least < here")
+    earliest = stage(single.groupBy("anchor", "window").agg(F.min("here").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1"), "earliest")
+    late = join_hot(single, earliest, ["anchor", "window"], "n").where("least < here")
     late = stage(late.groupBy("anchor", "key").agg(F.collect_list("j").alias("late")), "late")
     # Of a stretch that occurs once and has no late window nothing goes.
-    matter = kinds.join(late, ["anchor", "key"], "left").where("n > 1 or late is not null").select("anchor", "key", "first", "late")
-    joined = found.select("doc_id", "text_hash", "anchor", "key", "start", F.size("windows").alias("n")).join(matter, ["anchor", "key"])
+    matter = stage(kinds.join(late, ["anchor", "key"], "left").where("n > 1 or late is not null").select("anchor", "key", "first", "late", F.col("n").alias("times")), "matter")
+    joined = join_hot(found.select("doc_id", "text_hash", "anchor", "key", "start", F.size("windows").alias("n")), matter, ["anchor", "key"], "times")
     is_first = place == F.col("first")
     ranges = F.when(~is_first, F.array(F.struct(F.col("start").alias("s"), F.col("n").alias("n")))).otherwise(
         F.transform(F.coalesce("late", F.array().cast("array<int>")), lambda j: F.struct((F.col("start") + j).alias("s"), F.lit(1).alias("n")))
     )
     joined = joined.withColumn("ranges", ranges).where(F.size("ranges") > 0)
-    return stage(joined.groupBy("doc_id", "text_hash").agg(F.flatten(F.collect_list("ranges")).alias("ranges")), "ranges")
+    out = stage(joined.groupBy("doc_id", "text_hash").agg(F.flatten(F.collect_list("ranges")).alias("ranges")), "ranges")
+    unstage(kinds, several, single, earliest, late, matter)
+    return out
 
 
-def remove_repeats(docs: DataFrame) -> DataFrame:
+def remove_repeats(docs: DataFrame, capacity: int = sketch.CAPACITY) -> DataFrame:
     """doc_id, n_words, n_removed and kept (the words kept, joined by a space) for each row of `docs` (doc_id, text).
 
     A word goes if a window of 20 words over it also starts earlier: in a smaller doc_id (null
     is the smallest), or in the same document at an earlier start. Rows equal in id and text
     are one document and get the same result; rows equal in id alone are ordered by a hash of
-    their text. Null and empty texts have no words. Other columns are ignored.
+    their text. Null and empty texts have no words; a text of any length is read whole, in one
+    task. Other columns are ignored. capacity: anchors up to which the sketch is broadcast; it
+    does not change results.
     """
     short_batches(docs.sparkSession)
-    gone = removed_starts(candidates(docs))
+    gone = removed_starts(candidates(docs, capacity))
     gone = gone.select(F.col("doc_id").alias("gone_id"), F.col("text_hash").alias("gone_hash"), "ranges")
     rows = identity(docs).join(gone, F.col("doc_id").eqNullSafe(F.col("gone_id")) & (F.col("text_hash") == F.col("gone_hash")), "left")
     kind = docs.schema["doc_id"].dataType.simpleString()
