@@ -5,8 +5,10 @@ form a class. Each class is posted under every (coordinate, value) of its signat
 sets at the threshold share MIN_MATCHES of COORDINATES coordinates all but surely, so each
 class keeps only the prefix of its COORDINATES - MIN_MATCHES + 1 rarest postings: pairs with
 enough matches meet in it, and very common postings are skipped. Postings whose members are
-known to be connected are skipped too. Pairs that meet go on if they collide in MIN_MATCHES
-coordinates. A second pass over the classes that have postings left counts, behind a
+known to be connected are skipped too. Of a posting with very many members only those meet
+that share a second posting as well, which any such pair does within a prefix longer by one;
+so one value that many unlike documents share pairs none of them. Pairs that meet go on if
+they collide in MIN_MATCHES coordinates. A second pass over the classes that have postings left counts, behind a
 count-min sketch, the shingles of each that no other of them has: those bound its similarity
 to anything from above. A parity bitmap of each set bounds the symmetric difference of two
 from below. What the bounds admit is confirmed on the full sets.
@@ -23,8 +25,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldglass.llm import sketch
-from fieldglass.llm.common import WordHashes, mix, multipliers, short_batches, stage, windows
-from fieldglass.llm.components import connected_components
+from fieldglass.llm.common import WordHashes, join_hot, mix, multipliers, short_batches, stage, unstage, windows
+from fieldglass.llm.components import joined_labels
 
 SHINGLE_WORDS, MIN_PERCENT = 5, 75
 #: With 24 coordinates a pair of similarity 0.75 has fewer than 7 matches with probability 3.9e-7, once in about 2.6 million; such a pair is never tried.
@@ -32,6 +34,8 @@ COORDINATES, MIN_MATCHES = 24, 7
 #: Rounds against one member of each posting before all pairs across components are tried,
 #: earlier if there are no more such pairs than this many per class.
 STAR_ROUNDS, PAIRS_PER_CLASS = 6, 2
+#: Members of a posting beyond which its pairs must share a second posting to meet.
+MAX_MEMBERS = 256
 #: 64-bit words of a parity bitmap.
 PARITY_WORDS = 16
 
@@ -43,39 +47,42 @@ def shingles(text: bytes | None, hashes: WordHashes, width: int = SHINGLE_WORDS)
 
 
 def signatures(docs: DataFrame, width: int = SHINGLE_WORDS) -> DataFrame:
-    """doc_id, node, text_hash, n_shingles, key (of the set, null if empty) and signature for each row."""
+    """doc_id, text_hash, n_shingles, node (digest of the set, null if empty) and signature for each row."""
     short_batches(docs.sparkSession)
-    rows = docs.select(
-        F.col("doc_id"), F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text")).alias("node"), F.xxhash64("text").alias("text_hash"), F.col("text").cast("binary").alias("text_")
-    )
+    rows = docs.select(F.col("doc_id"), F.xxhash64("text").alias("text_hash"), F.col("text").cast("binary").alias("text_"))
     factors, shifts = multipliers(COORDINATES, 8), multipliers(COORDINATES, 9)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in batches:
             sizes, keys, signs = [], [], []
-            for text in batch.column(3).to_pylist():
+            for text in batch.column(2).to_pylist():
                 found = shingles(text, hashes, width)
                 sizes.append(len(found))
                 keys.append(xxhash.xxh3_128_digest(found.tobytes()) if len(found) else None)
                 signs.append([int(mix(found * f + s).min() >> np.uint64(1)) for f, s in zip(factors, shifts, strict=True)] if len(found) else None)
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:3], pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(signs, pa.list_(pa.int64()))],
-                names=["doc_id", "node", "text_hash", "n_shingles", "key", "signature"],
+                [*batch.columns[:2], pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(signs, pa.list_(pa.int64()))],
+                names=["doc_id", "text_hash", "n_shingles", "node", "signature"],
             )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"doc_id {kind}, node long, text_hash long, n_shingles long, key binary, signature array<long>")
+    return rows.mapInArrow(run, f"doc_id {kind}, text_hash long, n_shingles long, node binary, signature array<long>")
 
 
 def postings(classes: DataFrame) -> DataFrame:
-    """token, node: for each class its prefix of rarest postings, without those that no other class has."""
+    """token, node, first: for each class its rarest postings, without those that no other class has.
+
+    first: the prefix in which pairs of enough matches share a posting; with the one posting
+    that follows it, they share two.
+    """
     tokens = classes.select("node", F.posexplode("signature").alias("i", "v")).select("node", F.xxhash64("i", "v").alias("token"))
-    often = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    shared = tokens.join(often, "token")
+    often = stage(tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "often")
+    shared = join_hot(tokens, often, ["token"], "n")
     order = Window.partitionBy("node").orderBy("n", "token")
     ranked = shared.withColumn("k", F.row_number().over(order)).withColumn("of", F.count(F.lit(1)).over(Window.partitionBy("node")))
-    return ranked.where(F.col("k") + COORDINATES - F.col("of") <= COORDINATES - MIN_MATCHES + 1).select("token", "node")
+    spare = F.col("k") - F.col("of") + MIN_MATCHES - 1
+    return ranked.where(spare <= 1).select("token", "node", (spare <= 0).alias("first"))
 
 
 def shared_shingles(texts: DataFrame, width: int) -> DataFrame:
@@ -90,6 +97,7 @@ def shared_shingles(texts: DataFrame, width: int) -> DataFrame:
         hashes = WordHashes()
         yield from sketch.partial(shingles(t, hashes, width) for b in batches for t in b.column(0).to_pylist())
 
+    # A full sketch only bounds less; the parity bitmaps still do.
     bits = texts.sparkSession.sparkContext.broadcast(sketch.repeated_bits(texts.select("text").mapInArrow(partial, sketch.SCHEMA)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -103,7 +111,7 @@ def shared_shingles(texts: DataFrame, width: int) -> DataFrame:
                 [batch.column(0), pa.array([len(f) for f in found], pa.int64()), pa.array(common, pa.int64()), parity], names=["node", "n", "common", "parity"]
             )
 
-    return texts.select("node", "text").mapInArrow(run, "node long, n long, common long, parity array<long>")
+    return texts.select("node", "text").mapInArrow(run, "node binary, n long, common long, parity array<long>")
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
@@ -124,7 +132,34 @@ def confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> D
                 good.append(100 * both >= percent * (len(one) + len(two) - both))
             yield pa.RecordBatch.from_arrays([c.filter(pa.array(good, pa.bool_())) for c in batch.columns[:2]], names=["a", "b"])
 
-    return rows.mapInArrow(run, "a long, b long")
+    return rows.mapInArrow(run, "a binary, b binary")
+
+
+def classified(docs: DataFrame, width: int = SHINGLE_WORDS, percent: int = MIN_PERCENT) -> DataFrame:
+    """One row per row of `docs`: doc_id, text_hash, n_shingles, component (a digest; null without words), component_id."""
+    found = stage(signatures(docs, width), "signatures")
+    first = F.min(F.struct("doc_id", "text_hash"))
+    classes = found.where("node is not null").groupBy("node").agg(
+        first.alias("rep"), F.first("n_shingles").alias("n"), F.first("signature").alias("signature"), F.min("doc_id").alias("least_id"), F.count(F.lit(1)).alias("times")
+    )
+    classes = stage(classes, "classes")
+    posted = stage(postings(classes.select("node", "signature")), "postings")
+    involved = posted.where("first").select("node").distinct().join(classes.select("node", "rep"), "node")
+    involved = involved.select("node", F.col("rep.doc_id").alias("rep_id"), F.col("rep.text_hash").alias("rep_hash"))
+    whole = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.col("text").cast("binary").alias("text"))
+    texts = whole.join(involved, F.col("doc_id").eqNullSafe(F.col("rep_id")) & (F.col("text_hash") == F.col("rep_hash")))
+    texts = stage(texts.select("node", "text").dropDuplicates(["node"]), "texts")
+    sizes = stage(shared_shingles(texts, width).where(100 * F.col("common") >= percent * F.col("n")).join(classes.select("node", "signature"), "node"), "sizes")
+    labels = connect(posted, sizes, texts, width, percent)
+
+    least = labels.join(classes.select("node", "least_id"), "node").groupBy("component").agg(F.min("least_id").alias("component_id"))
+    of_class = classes.select("node", "least_id", "times").join(labels, "node", "left").join(least, "component", "left")
+    alone = F.col("component").isNull()
+    of_class = of_class.select("node", "times", F.coalesce("component", "node").alias("component"), F.when(alone, F.col("least_id")).otherwise(F.col("component_id")).alias("component_id"))
+    of_class = stage(of_class, "components")
+    base = ["doc_id", "text_hash", "n_shingles"]
+    linked = join_hot(found.where("node is not null").select(*base, "node"), of_class, ["node"], "times").select(*base, "component", "component_id")
+    return linked.unionByName(found.where("node is null").select(*base, F.lit(None).cast("binary").alias("component"), F.col("doc_id").alias("component_id")))
 
 
 def near_duplicates(docs: DataFrame, width: int = SHINGLE_WORDS, percent: int = MIN_PERCENT) -> DataFrame:
@@ -132,28 +167,35 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE_WORDS, percent: int =
 
     component_id is the smallest doc_id reachable over links of similarity percent/100 or
     more. Null and empty texts, and texts without words, are linked with nothing. Rows that
-    repeat a doc_id share it as their id; a row without an id takes part, but a component
-    of such rows alone has none and keeps nothing. Columns of other names are ignored.
+    repeat a doc_id are documents of their own; a row without an id takes part, but a component
+    of such rows alone has none and keeps nothing. A text of any length is read whole, in one
+    task. Columns of other names are ignored.
     """
-    found = stage(signatures(docs, width), "signatures")
-    first = F.min(F.struct("node", "text_hash"))
-    classes = found.where("key is not null").groupBy("key").agg(first.alias("rep"), F.first("n_shingles").alias("n"), F.first("signature").alias("signature"), F.min("doc_id").alias("least_id"))
-    classes = stage(classes.select("key", F.col("rep.node").alias("node"), F.col("rep.text_hash").alias("text_hash"), "n", "signature", "least_id"), "classes")
-    posted = stage(postings(classes.select("node", "signature")), "postings")
-    involved = posted.select("node").distinct().join(classes.select("node", "text_hash"), "node")
-    whole = docs.select(
-        F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text")).alias("node"), F.xxhash64("text").alias("text_hash"), F.col("text").cast("binary").alias("text")
-    )
-    texts = stage(whole.join(involved, ["node", "text_hash"], "left_semi").dropDuplicates(["node", "text_hash"]).select("node", "text"), "texts")
-    sizes = stage(shared_shingles(texts, width).where(100 * F.col("common") >= percent * F.col("n")).join(classes.select("node", "signature"), "node"), "sizes")
-    labels = connect(posted, sizes, texts, width, percent)
+    out = classified(docs, width, percent)
+    return out.select("doc_id", "text_hash", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"))
 
-    least = labels.join(classes.select("node", "least_id"), "node").groupBy("component").agg(F.min("least_id").alias("component_id"))
-    of_class = classes.select("key", "node", "least_id").join(labels, "node", "left").join(least, "component", "left")
-    of_class = of_class.select("key", F.when(F.col("component").isNull(), F.col("least_id")).otherwise(F.col("component_id")).alias("component_id"))
-    out = found.join(of_class, "key", "left")
-    component = F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", "text_hash", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
+
+MEMBER = ("token", "node", "n", "common", "signature", "parity")
+
+
+def may_link(other: str, percent: int) -> Column:
+    """Whether two classes collide often enough and no bound rules the similarity out."""
+    both, sizes_of_both = F.least("common", f"{other}common"), F.col("n") + F.col(f"{other}n")
+    collisions = sum((F.col("signature")[i] == F.col(f"{other}signature")[i]).cast("int") for i in range(COORDINATES))
+    differ = sum(F.bit_count(F.col("parity")[i].bitwiseXOR(F.col(f"{other}parity")[i])) for i in range(PARITY_WORDS))
+    # similarity = (sizes - difference) / (sizes + difference)
+    return (100 * both >= percent * (sizes_of_both - both)) & (collisions >= MIN_MATCHES) & ((100 + percent) * differ <= (100 - percent) * sizes_of_both)
+
+
+def across(members: DataFrame, keys: list[str], percent: int) -> DataFrame:
+    """a, b: the pairs of members of different components that share the keys and may be linked; members: keys, MEMBER, component."""
+    sizes_in = members.groupBy(*keys, "component").agg(F.count(F.lit(1)).alias("k"))
+    largest = sizes_in.groupBy(*keys).agg(F.max_by("component", F.struct("k", "component")).alias("largest"), F.count(F.lit(1)).alias("parts")).where("parts > 1").drop("parts")
+    # Of any two components one is not the largest, so its members meet all others.
+    outside = members.join(largest, keys).where("component <> largest")
+    other = members.select(*keys, *[F.col(c).alias(f"o_{c}") for c in (*MEMBER[1:], "component")])
+    pairs = outside.join(other, keys).where((F.col("component") != F.col("o_component")) & may_link("o_", percent))
+    return pairs.select(F.least("node", "o_node").alias("a"), F.greatest("node", "o_node").alias("b"))
 
 
 def connect(posted: DataFrame, sizes: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
@@ -161,53 +203,47 @@ def connect(posted: DataFrame, sizes: DataFrame, texts: DataFrame, width: int, p
 
     Star rounds pair each member of a posting with one member of another component. When few
     pairs across components are left, or after STAR_ROUNDS, all of them are tried: no pair
-    that shares a posting stays untried unless it is connected already.
+    that shares enough postings stays untried unless it is connected already. A posting whose
+    members are all connected takes no part in later rounds.
     """
     spark = posted.sparkSession
-    labels = spark.createDataFrame([], "node long, component long")
-    tested = spark.createDataFrame([], "a long, b long")
+    labels = spark.createDataFrame([], "node binary, component binary")
+    tested = spark.createDataFrame([], "a binary, b binary")
     total = sizes.count()
-    links = tested
-    sized = stage(posted.join(sizes, "node"), "sized")
-
-    def may_link(other: str) -> Column:
-        """Whether two classes collide often enough and no bound rules the similarity out."""
-        both, sizes_of_both = F.least("common", f"{other}common"), F.col("n") + F.col(f"{other}n")
-        collisions = sum((F.col("signature")[i] == F.col(f"{other}signature")[i]).cast("int") for i in range(COORDINATES))
-        differ = sum(F.bit_count(F.col("parity")[i].bitwiseXOR(F.col(f"{other}parity")[i])) for i in range(PARITY_WORDS))
-        # similarity = (sizes - difference) / (sizes + difference)
-        return (100 * both >= percent * (sizes_of_both - both)) & (collisions >= MIN_MATCHES) & ((100 + percent) * differ <= (100 - percent) * sizes_of_both)
-
+    members = stage(posted.where("first").join(sizes, "node").select(*MEMBER), "members")
     for turn in range(STAR_ROUNDS + 1):
-        now = sized.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        now = stage(members.select(*MEMBER).join(labels, "node", "left").withColumn("component", F.coalesce("component", "node")), "now")
+        unstage(members)
         by_token = now.groupBy("token").agg(
             # A member with few shingles of its own is like most others.
             F.min_by(F.struct("node", "component", "n", "common", "signature", "parity"), F.xxhash64("node", F.lit(turn)) if turn > 1 else F.struct(F.col("n") - F.col("common"), "node")).alias("c"),
             F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("members"),
-        ).where("low <> high")
-        open_now = stage(now.join(by_token, "token"), "open")
-        sizes_in = open_now.groupBy("token", "component").agg(F.count(F.lit(1)).alias("k"))
-        sizes_in = sizes_in.groupBy("token").agg(F.sum("k").alias("k"), F.sum(F.col("k") * F.col("k")).alias("kk"), F.max_by("component", F.struct("k", "component")).alias("largest"))
+        ).where("low <> high").drop("low", "high")
+        by_token = stage(by_token, "centres")
+        members = stage(join_hot(now, by_token, ["token"], "members"), "members")
+        unstage(now, by_token)
+        sizes_in = members.groupBy("token", "component").agg(F.count(F.lit(1)).alias("k"))
+        sizes_in = sizes_in.groupBy("token").agg(F.sum("k").alias("k"), F.sum(F.col("k") * F.col("k")).alias("kk"))
         pairs_left = sizes_in.agg(F.sum((F.col("k") * F.col("k") - F.col("kk")) / 2)).first()[0]
         if not pairs_left:
             return labels
         last = (turn > 0 and pairs_left <= PAIRS_PER_CLASS * total) or turn == STAR_ROUNDS
         if last:
-            other = open_now.select("token", F.col("node").alias("b"), F.col("component").alias("cb"), F.col("n").alias("o_n"), F.col("common").alias("o_common"), F.col("signature").alias("o_signature"), F.col("parity").alias("o_parity"))
-            # Of any two components one is not the posting's largest, so its members meet all others.
-            outside = open_now.join(sizes_in.select("token", "largest"), "token").where("component <> largest")
-            pairs = outside.join(other, "token").where((F.col("component") != F.col("cb")) & may_link("o_"))
-            pairs = pairs.select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct()
+            pairs = across(members.where(F.col("members") <= MAX_MEMBERS), ["token"], percent)
+            crowded = members.where(F.col("members") > MAX_MEMBERS)
+            second = posted.select("node", F.col("token").alias("second")).join(crowded, "node").where("second <> token")
+            # Both of a pair of postings may be crowded; the pair is met under either order.
+            pairs = pairs.union(across(second, ["token", "second"], percent)).distinct()
         else:
-            pairs = open_now.where((F.col("component") != F.col("c.component")) & may_link("c.")).groupBy(F.col("node").alias("a"), F.col("c.node").alias("b")).count()
+            pairs = members.where((F.col("component") != F.col("c.component")) & may_link("c.", percent)).groupBy(F.col("node").alias("a"), F.col("c.node").alias("b")).count()
             if not turn:  # the centre it collides with most often
                 pairs = pairs.groupBy("a").agg(F.max_by("b", F.struct("count", "b")).alias("b"))
-        pairs = stage(pairs.select("a", "b").join(tested, ["a", "b"], "left_anti"), "pairs")
+            pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        pairs = stage(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
         new = stage(confirmed(pairs, texts, width, percent), "links")
-        links = new if not turn else links.unionByName(new)
         if not new.isEmpty():
-            labels = connected_components(links)
+            labels = joined_labels(labels, new)
         if last:
             return labels
-        tested = pairs if not turn else tested.unionByName(pairs)
+        tested = tested.unionByName(pairs)
     raise AssertionError("unreachable")
