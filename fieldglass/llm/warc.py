@@ -4,8 +4,8 @@
 type and the other header columns, reads a record's headers first and leaves the payloads of
 unwanted records undecoded: our gzip members carry their compressed size in an extra field
 ('sl'), so a skipped member is not even inflated. Files of other writers (plain or gzip)
-are read as well. Writing goes through files of unique names and a manifest written on
-commit, so leftovers of failed attempts are never read.
+are read as well. Every job writes files of unique names and, on commit, a manifest of its
+own; readers take the files of all manifests, so leftovers of failed attempts are never read.
 """
 
 from __future__ import annotations
@@ -19,6 +19,7 @@ import uuid
 import zlib
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 from pyarrow import fs as pafs
@@ -27,13 +28,17 @@ from pyspark.sql import functions as F
 from pyspark.sql import datasource as ds
 from pyspark.sql.types import StructType
 
-from fieldglass.llm.common import scratch_path, short_batches
+from fieldglass.llm.common import join_hot, scratch_path, short_batches, stage
 
 SCHEMA = (
     "record_id string, record_type string, target_uri string, warc_date string, payload_digest string, "
     "refers_to string, payload_length long, content_length long, headers map<string,string>, payload binary"
 )
-MANIFEST = "_manifest.json"
+MANIFEST = re.compile(r"_manifest-[0-9a-f]+\.json$")
+#: Says that the target URI is percent-encoded, since it does not fit a header line as it is.
+ENCODED = "X-Target-URI-Encoding"
+#: The extra field of a gzip member holds sizes below this.
+MAX_MEMBER = 1 << 32
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 EPOCH = "1970-01-01T00:00:00Z"
 #: Bytes of files in one read partition, of one written file, and of payloads in one Arrow batch.
@@ -53,9 +58,9 @@ def digest32(payload: bytes) -> str:
 # -- writing ----------------------------------------------------------------------------
 
 
-def clean(value: str) -> str:
-    """A header value on one line."""
-    return value.replace("%", "%25").replace("\r", "%0D").replace("\n", "%0A") if re.search(r"[\r\n]", value) else value
+def one_line(uri: str) -> bool:
+    """Whether a header line gives the URI back as it is."""
+    return uri == uri.strip() and not re.search(r"[\x00-\x1f\x7f\x85\u2028\u2029]", uri)
 
 
 def record(kind: str, record_id: str, uri: str | None, refers_to: str | None, payload: bytes, digest: str, length: int) -> bytes:
@@ -66,18 +71,21 @@ def record(kind: str, record_id: str, uri: str | None, refers_to: str | None, pa
         f"WARC-Payload-Digest: sha1:{digest}", "Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}",
     ]
     if uri is not None:
-        lines.insert(3, f"WARC-Target-URI: {clean(uri)}")
+        lines[3:3] = [f"WARC-Target-URI: {uri}"] if one_line(uri) else [f"WARC-Target-URI: {quote(uri, safe='/:?&=')}", f"{ENCODED}: percent"]
     if kind == "revisit":
         lines += [f"WARC-Profile: {REVISIT_PROFILE}", f"WARC-Refers-To: <{refers_to}>"]
     return "\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
 def member(data: bytes) -> bytes:
-    """A gzip member whose extra field 'sl' holds its own size and its content's."""
+    """A gzip member whose extra field 'sl' holds its own size and its content's; one too large for the field has none."""
     squeeze = zlib.compressobj(GZIP_LEVEL, zlib.DEFLATED, -15)
     body = squeeze.compress(data) + squeeze.flush()
     total = 10 + 2 + 12 + len(body) + 8
-    head = b"\x1f\x8b\x08\x04\0\0\0\0\0\xff" + struct.pack("<H2sHII", 12, b"sl", 8, total & 0xFFFFFFFF, len(data) & 0xFFFFFFFF)
+    if max(total, len(data)) < MAX_MEMBER:
+        head = b"\x1f\x8b\x08\x04\0\0\0\0\0\xff" + struct.pack("<H2sHII", 12, b"sl", 8, total, len(data))
+    else:
+        head = b"\x1f\x8b\x08\0\0\0\0\0\0\xff"
     return head + body + struct.pack("<II", zlib.crc32(data), len(data) & 0xFFFFFFFF)
 
 
@@ -89,11 +97,12 @@ class Written(ds.WriterCommitMessage):
 class WarcWriter(ds.DataSourceArrowWriter):
     """Rows of record_id, record_type, target_uri, refers_to, payload, payload_sha1, payload_length.
 
-    payload_sha1 and payload_length may be null where the payload is there.
+    payload_sha1 and payload_length may be null where the payload is there. Mode append adds to
+    what the folder holds, overwrite replaces it.
     """
 
-    def __init__(self, options: dict[str, str]):
-        self.path = options["path"].rstrip("/")
+    def __init__(self, options: dict[str, str], overwrite: bool):
+        self.path, self.overwrite = options["path"].rstrip("/"), overwrite
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
         fs, base = filesystem(self.path)
@@ -120,8 +129,12 @@ class WarcWriter(ds.DataSourceArrowWriter):
     def commit(self, messages: list[Written | None]) -> None:
         fs, base = filesystem(self.path)
         fs.create_dir(base, recursive=True)
+        before = fs.get_file_info(pafs.FileSelector(base)) if self.overwrite else []
         names = [f for m in messages if m is not None for f in m.files]
-        with fs.open_output_stream(f"{base}/{MANIFEST}") as out:
+        for i in sorted(before, key=lambda i: MANIFEST.search(i.path) is None):  # manifests first
+            if i.type == pafs.FileType.File and i.base_name not in names:
+                fs.delete_file(i.path)
+        with fs.open_output_stream(f"{base}/_manifest-{uuid.uuid4().hex}.json") as out:
             out.write(json.dumps(sorted(names)).encode())
 
     def abort(self, messages: list[Written | None]) -> None:
@@ -215,9 +228,9 @@ def bare(value: str | None) -> str | None:
 def columns(h: dict[str, str]) -> dict:
     """The header columns of a record."""
     low = {k.lower(): v for k, v in h.items()}
-    digest = low.get("warc-payload-digest")
+    digest, uri = low.get("warc-payload-digest"), low.get("warc-target-uri")
     return {
-        "record_id": bare(low.get("warc-record-id")), "record_type": low.get("warc-type"), "target_uri": low.get("warc-target-uri"),
+        "record_id": bare(low.get("warc-record-id")), "record_type": low.get("warc-type"), "target_uri": unquote(uri) if uri and ENCODED.lower() in low else uri,
         "warc_date": low.get("warc-date"), "payload_digest": digest.partition(":")[2] if digest and ":" in digest else digest,
         "refers_to": bare(low.get("warc-refers-to")), "payload_length": None, "content_length": int(low.get("content-length", 0)), "headers": h, "payload": None,
     }
@@ -226,7 +239,8 @@ def columns(h: dict[str, str]) -> dict:
 def http_payload(row: dict, data: Source | Inflated, payloads: bool, verify: bool) -> None:
     """Fill payload_length and payload from the record's block."""
     left = row["content_length"]
-    if "application/http" in row["headers"].get("Content-Type", "") and (at := data.peek(min(left, CHUNK)).find(b"\r\n\r\n")) >= 0:
+    kind = next((v for k, v in row["headers"].items() if k.lower() == "content-type"), "")
+    if "application/http" in kind.lower() and (at := data.peek(min(left, CHUNK)).find(b"\r\n\r\n")) >= 0:
         head = data.take(at + 4)
         left -= len(head)
         if row["record_type"] == "revisit" and (m := re.search(rb"(?i)\r\ncontent-length:\s*(\d+)", head)):
@@ -304,14 +318,16 @@ class WarcReader(ds.DataSourceReader):
 
     def partitions(self) -> list[Files]:
         fs, base = filesystem(self.path)
-        if fs.get_file_info(f"{base}/{MANIFEST}").type == pafs.FileType.File:
-            with fs.open_input_stream(f"{base}/{MANIFEST}") as f:
-                infos = fs.get_file_info([f"{base}/{n}" for n in json.loads(f.read())])
-        elif fs.get_file_info(base).type == pafs.FileType.File:
+        if fs.get_file_info(base).type == pafs.FileType.File:
             infos = [fs.get_file_info(base)]
         else:
             found = fs.get_file_info(pafs.FileSelector(base, recursive=True, allow_not_found=True))
-            infos = sorted((i for i in found if re.search(r"\.warc(\.gz)?$", i.path)), key=lambda i: i.path)
+            names: list[str] | None = None
+            for m in (i for i in found if MANIFEST.search(i.path)):
+                with fs.open_input_stream(m.path) as f:
+                    names = (names or []) + [f"{m.path.rpartition('/')[0]}/{n}" for n in json.loads(f.read())]
+            listed = None if names is None else set(names)
+            infos = sorted((i for i in found if re.search(r"\.warc(\.gz)?$", i.path) and (listed is None or i.path in listed)), key=lambda i: i.path)
         groups, room = [], 0
         for i in infos:
             if not groups or room < i.size:
@@ -357,7 +373,7 @@ class WarcSource(ds.DataSource):
         return WarcReader({k.lower(): v for k, v in self.options.items()})
 
     def writer(self, schema: StructType, overwrite: bool) -> WarcWriter:
-        return WarcWriter({k.lower(): v for k, v in self.options.items()})
+        return WarcWriter({k.lower(): v for k, v in self.options.items()}, overwrite)
 
 
 def register(spark: SparkSession) -> None:
@@ -371,19 +387,20 @@ PAGE = "urn:page:"
 
 
 def archive_pages(pages: DataFrame, path: str, min_bytes: int = 0) -> None:
-    """Write a record for each row of `pages` (page_id, url, html).
+    """Write a record for each row of `pages` (page_id, url, html), after those the path already holds.
 
-    A null html is an empty payload. Of equal payloads of at least min_bytes the row with the
-    largest page_id is the response (all of them if that id is repeated, or if every id of
-    the group is null) and the others are revisits of it. The payload is shuffled once.
+    A null html is an empty payload, a null url no header. Of equal payloads of at least
+    min_bytes the row with the largest page_id is the response (all of them if that id is
+    repeated, or if every id of the group is null) and the others are revisits of it; smaller
+    ones are all responses. Other columns are ignored. A payload that very many pages share is
+    not shuffled; the others are shuffled once. A page of any size is one record, held whole.
     """
     register(pages.sparkSession)
     short_batches(pages.sparkSession)
     rows = pages.select("page_id", "url", F.coalesce(F.encode("html", "UTF-8"), F.lit(b"")).alias("payload"))
     rows = rows.withColumn("digest", F.sha1("payload"))
-    largest = pages.select("page_id", F.sha1(F.coalesce(F.encode("html", "UTF-8"), F.lit(b""))).alias("digest"))
-    largest = largest.groupBy("digest").agg(F.max("page_id").alias("response_id"))
-    rows = rows.join(largest, "digest")
+    largest = rows.groupBy("digest").agg(F.max("page_id").alias("response_id"), F.count(F.lit(1)).alias("times"))
+    rows = join_hot(rows, stage(largest, "largest"), ["digest"], "times")
     again = (F.octet_length("payload") >= min_bytes) & ~F.col("page_id").eqNullSafe(F.col("response_id"))
     name = lambda c: F.concat(F.lit(PAGE), F.coalesce(F.col(c).cast("string"), F.lit("")))
     records = rows.select(
