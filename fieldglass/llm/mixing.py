@@ -68,33 +68,27 @@ def crossing(rows: DataFrame, bucket: str, base: str) -> DataFrame:
     return sums.where(hit).select("source", "left", F.col(bucket).alias(f"cut_{bucket}"), (F.col("upto") - F.col("n")).alias(f"after_{bucket}"))
 
 
-def mix(
+def mixed(
     docs: DataFrame,
-    keep: list[str] | None = None,
+    keep: list[str],
     weights: tuple[int, ...] = WEIGHTS,
     share: float = BUDGET_SHARE,
     most: float = MAX_EPOCHS,
     quality: Column | None = None,
     seed: str = "mix",
 ) -> DataFrame:
-    """One row per row of `docs` (doc_id, text, source) with size, source_size, target, copies and taken.
-
-    keep: columns carried along, doc_id alone by default. A null text has size 0; a null
-    source is a source, last in order; ties of a key (repeated ids) fall to the same side
-    of the cut only if their sizes are equal too. An empty table gives no rows.
-    """
-    keep = keep or ["doc_id"]
+    """`row` (a struct of the columns `keep`), size, source_size, target, copies and taken."""
     short_batches(docs.sparkSession)
     quality = F.coalesce(default_quality(F.col("text")) if quality is None else quality, F.lit(1.0))
     key = F.col("key")
     sized = docs.select(
-        F.struct(*keep).alias("kept_columns"), F.col("doc_id"), F.col("source"), word_count(F.col("text")).alias("size"),
+        F.struct(*keep).alias("row"), F.col("doc_id"), F.col("source"), word_count(F.col("text")).alias("size"),
         sampling_key(F.col("doc_id"), quality, seed).alias("key"),
     )
     spread = (F.lit(1.0) - F.exp(-key)) * F.lit(float(BUCKETS))
     sized = sized.withColumn("b1", F.least(F.floor(spread), F.lit(BUCKETS - 1)).cast("int"))
     sized = sized.withColumn("b2", F.floor((spread - F.col("b1")) * F.lit(float(BUCKETS))).cast("int"))
-    slim = stage(sized.drop("kept_columns") if keep != ["doc_id"] else sized, "mix")
+    slim = stage(sized.drop("row") if keep != ["doc_id"] else sized, "mix")
 
     per = targets(slim, weights, share, most)
     size = F.col("source_size").cast("double")
@@ -124,5 +118,16 @@ def mix(
         (F.col("b1") == F.col("cut_b1")) & ((F.col("b2") < F.col("cut_b2")) | ((F.col("b2") == F.col("cut_b2")) & last))
     )
     copies = F.col("epochs") + F.coalesce(chosen, F.lit(False)).cast("long")
-    kept = [F.col(f"kept_columns.{c}").alias(c) for c in keep]
-    return out.select(*kept, "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+    return out.select("row", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+
+
+def mix(docs: DataFrame, keep: list[str] | None = None, **settings: object) -> DataFrame:
+    """One row per row of `docs` (doc_id, text, source) with size, source_size, target, copies and taken.
+
+    keep: columns carried along, doc_id alone by default (`mixed` carries columns of any name);
+    settings: those of `mixed`. A null text has size 0; a null source is a source, last in
+    order; ties of a key (repeated ids) fall to the same side of the cut only if their sizes
+    are equal too. A text of any length counts whole, and stays on one side of the cut. An
+    empty table gives no rows.
+    """
+    return mixed(docs, keep or ["doc_id"], **settings).select("row.*", "size", "source_size", "target", "copies", "taken")

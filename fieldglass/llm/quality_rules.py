@@ -175,32 +175,37 @@ def references(counts: DataFrame) -> dict[str, tuple[list[float], dict[str, floa
     }
 
 
-def judge(docs: DataFrame, keep: list[str] | None = None, common: tuple[str, ...] = COMMON_WORDS) -> DataFrame:
-    """One row per row of `docs` (doc_id, text, lang): counts, base_failed, distances, kept.
-
-    keep: columns carried along, doc_id alone by default. Null and empty texts have zero
-    counts and fail. A null lang takes part as any text, but in no reference; without any
-    reference (an empty or tiny table) only the counting rules decide. Repeated ids and rows
-    are judged row by row. Columns whose names clash with the results' are not looked at.
-    """
-    keep = keep or ["doc_id"]
+def judged(docs: DataFrame, keep: list[str], common: tuple[str, ...] = COMMON_WORDS) -> DataFrame:
+    """`row` (a struct of the columns `keep`) and the results of judge()."""
     short_batches(docs.sparkSession)
     lang = F.col("lang") if "lang" in docs.columns else F.lit(None).cast("string")
-    base = docs.select(F.col("text"), lang.alias("lang_"), F.struct(*keep).alias("kept_columns"))
-    counts = text_counts(base, vocabulary(common), ["kept_columns", F.col("lang_").alias("lang")])
+    base = docs.select(F.col("text"), lang.alias("lang_"), F.struct(*keep).alias("row"))
+    counts = text_counts(base, vocabulary(common), ["row", F.col("lang_").alias("lang")])
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     counts = stage(counts.withColumn("base_failed", failed), "quality")
     known = references(counts)
     far = F.lit(0.0)
     by_class = F.least(*[class_distance(c) for c, _ in known.values()], F.lit(1.0)) if known else far
     by_word = F.least(*[word_distance(w) for _, w in known.values() if w], F.lit(1.0)) if any(w for _, w in known.values()) else far
-    judged = counts.withColumn("class_distance", by_class).withColumn("word_distance", by_word)
+    out = counts.withColumn("class_distance", by_class).withColumn("word_distance", by_word)
     noise = F.when((F.col("n_words") > 0) & (F.col("n_words") < FULL_WORDS), F.lit(WORD_NOISE) / F.col("n_words") - F.lit(WORD_NOISE / FULL_WORDS)).otherwise(F.lit(0.0))
     odd = ((F.col("n_chars") >= MIN_CLASS_CHARS) & (F.col("class_distance") > MAX_CLASS_DISTANCE)) | (
         F.col("word_distance") > F.sqrt(F.lit(MAX_WORD_DISTANCE**2) + noise)
     )
-    judged = judged.withColumn("kept", ~F.col("base_failed") & ~odd)
-    return judged.select(
-        "kept_columns.*", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-        "base_failed", "kept", "class_distance", "word_distance",
-    )
+    return out.withColumn("kept", ~F.col("base_failed") & ~odd).select("row", *RESULTS)
+
+
+RESULTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "class_distance", "word_distance")
+
+
+def judge(docs: DataFrame, keep: list[str] | None = None, common: tuple[str, ...] = COMMON_WORDS) -> DataFrame:
+    """One row per row of `docs` (doc_id, text, lang): counts, base_failed, distances, kept.
+
+    keep: columns carried along, doc_id alone by default (`judged` carries columns of any name).
+    Null and empty texts have zero counts and fail. A null lang takes part as any text, but in
+    no reference; without any reference (an empty or tiny table) only the counting rules decide.
+    Repeated ids and rows are judged row by row, so ties do not arise: a document at a threshold
+    is kept. A text of any length is read whole, in one task. Columns whose names clash with the
+    results' are not looked at. The plan grows with the languages that have references.
+    """
+    return judged(docs, keep or ["doc_id"], common).select("row.*", *RESULTS)

@@ -125,8 +125,8 @@ def count_tokens(docs: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id"
     """One row per row of `docs`: id, n_words, n_bytes, n_tokens, n_unknown (long).
 
     A word the vocabulary cannot spell is one token and counts in n_unknown. A null
-    or empty text has zeros; repeated ids and rows are counted row by row; other
-    columns are ignored. There is no shuffle. The automaton goes to the executors as
+    or empty text has zeros; a text of any length is read whole; repeated ids and rows are counted
+    row by row, so ties do not arise; other columns are ignored. There is no shuffle. The automaton goes to the executors as
     a broadcast whose size the vocabulary's size bounds.
     """
     spark = docs.sparkSession
