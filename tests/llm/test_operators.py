@@ -6,8 +6,10 @@ import random
 from collections import Counter
 
 import pytest
+import xxhash
 
 from fieldglass.llm import decontamination, language_id, line_dedup, minhash_dedup, mixing, quality_rules, substring_dedup, suffix_dedup, token_counts, warc
+from fieldglass.llm.common import multipliers
 from fieldglass.llm.suffix_array import repeated_starts, suffix_array
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, n_words string"
@@ -67,20 +69,31 @@ def test_word_pieces_and_unknown():
     assert [a.count(w) for w in (b"unaffable", b"un", b"aab", b"zzz", b"unz", b"unaffabl")] == [3, 1, 3, -1, -1, -1]
 
 
-def test_line_dedup(docs, none):
-    seen, want = set(), Counter()
-    for i, t, *_ in sorted(ROWS, key=lambda r: (r[0] is not None, r[0] or 0)):
-        if t is not None:
-            cut = 0
-            for _, n, c in line_dedup.eligible(t.encode()):
-                cut += n if c in seen else 0
-                seen.add(c)
-            want[i, len(t.split("\n")), cut] += 1
-        else:
-            want[i, 0, 0] += 1
-    got = line_dedup.remove_repeated_chunks(docs).collect()
-    assert Counter((r.doc_id, r.n_lines, r.n_removed_lines) for r in got) == want
-    assert next(r.text for r in got if r.doc_id == 1) == BASE and next(r for r in got if r.doc_id == 2).n_removed_lines > 10
+def pairs_gone(rows):
+    """By plain Python: for each (id, text) in order, the numbers of the lines that repeat an earlier pair of lines with words."""
+    seen, out = set(), []
+    for _, t in rows:
+        lines, gone = (t or "").split("\n"), set()
+        at = [k for k, x in enumerate(lines) if x.encode().split()]
+        for a, b in zip(at, at[1:]):
+            pair = tuple(lines[a : b + 1])
+            gone |= set(range(a, b + 1)) if pair in seen else set()
+            seen.add(pair)
+        out.append(gone)
+    return out
+
+
+@pytest.mark.parametrize("capacity", [10**9, 40])
+def test_line_dedup(docs, none, capacity):
+    rows = sorted(((r[0], r[1]) for r in ROWS), key=lambda r: (r[0] is not None, r[0] or 0))
+    want = Counter()
+    for (i, t), gone in zip(rows, pairs_gone(rows)):
+        lines = (t or "").split("\n")
+        want[i, None if t is None else "\n".join(x for k, x in enumerate(lines) if k not in gone), len(lines) if t is not None else 0, len(gone)] += 1
+    got = line_dedup.remove_repeated_chunks(docs, capacity=capacity).collect()
+    assert Counter((r.doc_id, r.text, r.n_lines, r.n_removed_lines) for r in got) == want
+    copy = next(r for r in got if r.doc_id == 2)
+    assert copy.n_removed_lines == 20 and copy.n_removed_chunks == copy.n_chunks > 1
     assert line_dedup.remove_repeated_chunks(none).count() == 0
 
 
@@ -102,10 +115,25 @@ def test_line_dedup_finds_passages_inside_other_texts(spark):
     assert {r.doc_id: (r.n_removed_lines, r.text) for r in got} == want
 
 
-def test_chunks_resist_shifts():
+def test_chunks_resist_shifts_and_hold_every_pair_once():
     lines = [sentence(5).encode() for _ in range(200)]
-    a, b = ({tuple(x[s : s + n]) for s, n in line_dedup.chunks(x)} for x in (lines, [b"new", *lines]))
-    assert len(a & b) >= len(a) - 3
+    a, b = ({tuple(x[s : e + 1]) for s, e in line_dedup.chunks(x, list(range(len(x))))} for x in (lines, [b"new", *lines]))
+    assert len(a & b) >= len(a) - 2 and len(a) > 20
+    for n in (0, 1, 2, 3, 50):
+        at = sorted(RNG.sample(range(200), n))
+        cuts = line_dedup.chunks(lines, at)
+        assert [j for s, e in cuts for j in range(s, e)] == list(range(max(0, n - 1)))
+        # Where a chunk ends depends on the three lines up to there alone, which plain integers confirm.
+        def roll(three):
+            h = sum(xmix((xxhash.xxh3_64_intdigest(x) + j) % 2**64) * int(m) for j, (x, m) in enumerate(zip(three, multipliers(3, 3)))) + 3
+            return xmix(h % 2**64)
+        assert [e for _, e in cuts[:-1]] == [k for k in range(2, n - 1) if roll([lines[i] for i in at[k - 2 : k + 1]]) % 4 == 0]
+
+
+def xmix(x):
+    for m in (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53):
+        x = (x ^ x >> 33) * m % 2**64
+    return x ^ x >> 33
 
 
 def test_quality_rules(docs, none):
@@ -164,16 +192,16 @@ def test_suffix_arrays_and_shards():
         assert [r.tolist() for r in repeated_starts(strings, 4)] == [[i for i in range(len(s) - 3) if n[s[i : i + 4]] > 1] for s in strings]
 
 
-@pytest.mark.parametrize("hot", [512, 1])
-def test_suffix_dedup(docs, none, hot, monkeypatch):
-    monkeypatch.setattr(suffix_dedup, "HOT_STRETCHES", hot)
+@pytest.mark.parametrize("most, capacity", [(1024, 10**9), (1, 10**9), (2, 50)])
+def test_suffix_dedup(docs, none, most, capacity, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "MAX_STRETCHES", most)
     data = [(r[0], (r[1] or "").encode()) for r in ROWS]
     n = Counter(b[i : i + 400] for _, b in data for i in range(len(b) - 399))
     want = Counter()
     for i, b in data:
         gone = {j for k in range(len(b) - 399) if n[b[k : k + 400]] > 1 for j in range(k, k + 400)}
         want[i, len(b), len(gone), sum(1 for j in gone if j - 1 not in gone), bytes(c for j, c in enumerate(b) if j not in gone)] += 1
-    got = Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in suffix_dedup.remove_repeated_bytes(docs).collect())
+    got = Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in suffix_dedup.remove_repeated_bytes(docs, capacity).collect())
     assert got == want
     assert suffix_dedup.remove_repeated_bytes(none).count() == 0
 
@@ -233,7 +261,7 @@ def test_decontamination(spark, docs, none):
     bench = spark.createDataFrame([(1, item), (2, "too short"), (3, None)], "item_id long, text string")
     rows = docs.select("doc_id", "text").union(spark.createDataFrame([(50, f"{sentence(20)} {second.upper()}. {sentence(9)} {first}!"), (51, first[:40])], "doc_id long, text string"))
     for bound in (10**6, 0):
-        got = decontamination.contamination(rows, bench, max_broadcast_words=bound).collect()
+        got = decontamination.contamination(rows, bench, max_broadcast_bytes=bound).collect()
         assert [(r.doc_id, r.best_item, r.coverage) for r in got if r.contaminated] == [(50, 1, 1.0)]
     assert decontamination.contamination(none, bench).count() == 0 and not any(r.contaminated for r in decontamination.contamination(docs, bench.limit(0)).collect())
 
@@ -244,9 +272,11 @@ def test_tiles_fill_what_an_overlapped_match_leaves():
     assert sorted(decontamination.tile(item, text, 5)) == [(0, 0, 5), (5, 9, 9)]
 
 
-def test_substring_dedup(docs, none):
-    ordered = sorted(ROWS[:-2], key=lambda r: (r[0] is not None, r[0] or 0))
-    seen, want = set(), {}
+@pytest.mark.parametrize("capacity", [10**9, 60])
+def test_substring_dedup(docs, none, capacity):
+    # Rows of one id are ordered by a hash of their text; here neither has a window.
+    ordered = sorted(ROWS, key=lambda r: (r[0] is not None, r[0] or 0))
+    seen, want = set(), Counter()
     for i, t, *_ in ordered:
         w = words(t)
         gone = set()
@@ -254,9 +284,8 @@ def test_substring_dedup(docs, none):
             if (q := tuple(w[k : k + 20])) in seen:
                 gone |= set(range(k, k + 20))
             seen.add(q)
-        want[i] = (len(w), len(gone), b" ".join(x for j, x in enumerate(w) if j not in gone).decode())
-    got = {r.doc_id: (r.n_words, r.n_removed, r.kept) for r in substring_dedup.remove_repeats(docs).collect() if r.doc_id != 12}
-    want.pop(12, None)
+        want[i, len(w), len(gone), b" ".join(x for j, x in enumerate(w) if j not in gone).decode()] += 1
+    got = Counter((r.doc_id, r.n_words, r.n_removed, r.kept) for r in substring_dedup.remove_repeats(docs, capacity).collect())
     assert got == want
     assert substring_dedup.remove_repeats(none).count() == 0
 
@@ -276,11 +305,11 @@ def test_pipeline(spark):
 def test_parity_bitmaps_bound_the_difference(spark):
     texts = [sentence(n) for n in (1, 7, 150, 150, 3000)]
     texts += [texts[2].replace("w1", "q"), texts[4].replace("w12 ", "q "), texts[4] + " " + sentence(20)]
-    rows = minhash_dedup.shared_shingles(spark.createDataFrame([(i, t.encode()) for i, t in enumerate(texts)], "node long, text binary"), 5).collect()
-    bits = {r.node: [x % 2**64 for x in r.parity] for r in rows}
+    rows = minhash_dedup.shared_shingles(spark.createDataFrame([(bytes([i]), t.encode()) for i, t in enumerate(texts)], "node binary, text binary"), 5).collect()
+    bits = {r.node[0]: [x % 2**64 for x in r.parity] for r in rows}
     sets = [set(minhash_dedup.shingles(t.encode(), minhash_dedup.WordHashes()).tolist()) for t in texts]
     for r in rows:
-        assert r.n == len(sets[r.node])
+        assert r.n == len(sets[r.node[0]])
     for a, x in bits.items():
         for b, y in bits.items():
             differ = sum((p ^ q).bit_count() for p, q in zip(x, y, strict=True))
