@@ -1,14 +1,15 @@
 """The corpus pipeline: quality rules, line dedup, near-dedup, decontamination, mixing.
 
 Each stage takes (spark, docs, sf_dir), works on all that its predecessor kept, and all but
-the last return the columns of documents.
+the last return the columns of documents, whatever further columns those have: results travel
+beside the row, not among its columns.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldglass.llm import decontamination, line_dedup, minhash_dedup, mixing, quality_rules
@@ -16,36 +17,60 @@ from fieldglass.llm.common import stage
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules reject go."""
-    return quality_rules.judge(docs, keep=docs.columns).where("kept").select(docs.columns)
+    """Documents that the quality rules reject go; null and empty texts are among them."""
+    return quality_rules.judged(docs, docs.columns).where("kept").select("row.*")
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated multi-line chunks go from the texts; every document stays."""
+    """Repeated multi-line chunks go from the texts; every document stays, and n_chars follows the text."""
     rest = [c for c in docs.columns if c != "text"]
-    out = line_dedup.remove_repeated_chunks(docs, keep=rest)
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast("long"))
-    return out.select(docs.columns)
+    out = line_dedup.removed(docs, rest)
+    column = {"text": F.col("text"), "n_chars": F.when(F.col("text").isNull(), F.col("row.n_chars") if "n_chars" in rest else F.lit(None)).otherwise(F.length("text").cast("long"))}
+    return out.select([column.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays; one without an id stays too."""
-    kept = minhash_dedup.near_duplicates(docs).where("kept or doc_id is null")
-    kept = kept.select(F.col("doc_id").alias("kept_id"), F.col("text_hash").alias("kept_hash"))
-    same = F.col("doc_id").eqNullSafe(F.col("kept_id")) & (F.xxhash64("text") == F.col("kept_hash"))
-    return docs.join(kept, same, "left_semi")
+    """One row of each group of near-duplicates stays: the one of smallest id (a null one last), then of a hash.
+
+    Rows equal in every column are copies too. Documents without words are in no group and stay.
+    """
+    found = stage(minhash_dedup.classified(docs), "classified")
+    group = found.where("component is not null").select(F.col("doc_id").alias("id_"), F.col("text_hash").alias("hash_"), "component").distinct()
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").alias("of"), F.xxhash64("text").alias("text_hash"))
+    rows = rows.withColumn("row_hash", F.xxhash64("row"))
+    same = lambda a, b: F.col("of").eqNullSafe(F.col(a)) & (F.col("text_hash") == F.col(b))
+    slim = rows.select("of", "text_hash", "row_hash").join(group, same("id_", "hash_")).drop("id_", "hash_")
+    place = F.struct(F.col("of").isNull().alias("unknown"), "of", "text_hash", "row_hash")
+    first = slim.groupBy("component", place.alias("place")).agg(F.count(F.lit(1)).alias("n")).groupBy("component").agg(F.min(F.struct("place", "n")).alias("f"))
+    first = stage(first.select(F.col("f.place.of").alias("id_"), F.col("f.place.text_hash").alias("hash_"), F.col("f.place.row_hash").alias("row_"), F.col("f.n").alias("n")), "first")
+
+    def those(df: DataFrame) -> DataFrame:
+        return rows.join(df, same("id_", "hash_") & (F.col("row_hash") == F.col("row_")), "left_semi")
+
+    once = those(first.where("n = 1")).select("row.*")
+    repeated = those(first.where("n > 1")).dropDuplicates(["of", "text_hash", "row_hash"]).select("row.*")
+    empty = found.where("component is null").select(F.col("doc_id").alias("id_"), F.col("text_hash").alias("hash_")).distinct()
+    return once.unionByName(repeated).unionByName(rows.join(empty, same("id_", "hash_"), "left_semi").select("row.*"))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold benchmark items go."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    return decontamination.contamination(docs, benchmark, keep=docs.columns).where("not contaminated").select(docs.columns)
+    return decontamination.contaminated(docs, benchmark, docs.columns).where("not contaminated").select("row.*")
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the mix takes, with the number of copies of each."""
-    return mixing.mix(docs, keep=docs.columns).where("copies > 0")
+    """The documents that the mix takes, with the number of copies of each; a result that clashes with a column of documents gets underscores."""
+    out = mixing.mixed(docs, docs.columns).where("copies > 0")
+    taken = {c.lower() for c in docs.columns}
+
+    def free(name: str) -> str:
+        while name in taken:
+            name += "_"
+        return name
+
+    results: list[Column] = [F.col(c).alias(free(c)) for c in ("size", "source_size", "target", "copies", "taken")]
+    return out.select("row.*", *results)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
@@ -56,7 +81,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("mixing", mix),
 ]
 
-#: SQL cannot express the stages. Tests hold their operators against brute force, but of the pipeline as a whole only counts and columns.
+#: SQL cannot express the stages; tests hold each of them, and the whole, against plain Python.
 ORACLE_SQL = None
 
 
