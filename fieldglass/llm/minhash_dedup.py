@@ -35,7 +35,7 @@ COORDINATES, MIN_MATCHES = 24, 7
 #: earlier if there are no more such pairs than this many per class.
 STAR_ROUNDS, PAIRS_PER_CLASS = 6, 2
 #: Members of a posting beyond which its pairs must share a second posting to meet.
-MAX_MEMBERS = 256
+MAX_MEMBERS = 4096
 #: 64-bit words of a parity bitmap.
 PARITY_WORDS = 16
 
