@@ -89,32 +89,30 @@ def induce_names(x: np.ndarray, up: np.ndarray, lms: np.ndarray, used: np.ndarra
     last_of = np.searchsorted(seeds, np.arange(size), side="right")
     start = np.full(n, -1, np.int64)
     start[tops[seeds] - last_of[seeds] + np.arange(len(lms))] = lms
-    sa, symbols = start.tolist(), x.tolist()
-    # before[i]: the predecessor of i if it falls (rises), else -1.
-    position = np.arange(-1, n - 1)
-    falls = np.where(np.concatenate([[False], ~up[:-1]]), position, -1).tolist()
+    sa = start.tolist()
+    # bucket[p]: the symbol before p if the suffix from there falls (rises), else -1; so for p = -1, an empty place.
+    symbol = np.append(np.concatenate([[-1], x[:-1]]), -1)
+    before = np.concatenate([[False], up[:-1], [False]])
+    bucket = np.where(before, -1, symbol).tolist()
     for p in sa:
-        if p >= 0:
-            q = falls[p]
-            if q >= 0:
-                c = symbols[q]
-                sa[heads[c]] = q
-                heads[c] += 1
+        c = bucket[p]
+        if c >= 0:
+            at = heads[c]
+            sa[at] = p - 1
+            heads[c] = at + 1
     # Of the S suffixes only the sentinel keeps its place; the others are induced anew.
     falling = np.array(sa)
     falling[(falling >= 0) & up[falling]] = -1
     falling[0] = n - 1
     sa = falling.tolist()
-    rises = np.where(np.concatenate([[False], up[:-1]]), position, -1).tolist()
+    bucket = np.where(before, symbol, -1).tolist()
     ends = (tops - 1).tolist()
-    for i in range(n - 1, -1, -1):
-        p = sa[i]
-        if p >= 0:
-            q = rises[p]
-            if q >= 0:
-                c = symbols[q]
-                sa[ends[c]] = q
-                ends[c] -= 1
+    for p in reversed(sa):
+        c = bucket[p]
+        if c >= 0:
+            at = ends[c]
+            sa[at] = p - 1
+            ends[c] = at - 1
     return np.array(sa)
 
 
