@@ -20,15 +20,15 @@ from pyspark.sql import functions as F
 
 from fieldglass.llm.common import mix, multipliers
 
-#: Two rows of 2**26 counters: 16 MB of bits in all, whatever the input.
-DEPTH, WIDTH_BITS = 2, 26
+#: Two rows of 2**27 counters: 32 MB of bits in all where they are broadcast, whatever the input.
+DEPTH, WIDTH_BITS = 2, 27
 #: Counters in a block; a task merges one block at a time.
 BLOCK_BITS = 18
 #: Values gathered before a partial sketch is sent on.
 FLUSH = 1 << 19
 SCHEMA = "block int, counters binary"
 #: Values up to which the broadcast bits let less than 5 % of the unrepeated ones through.
-CAPACITY = 1 << 24
+CAPACITY = 1 << 25
 #: Values in one range beyond that.
 RANGE_VALUES = 1 << 20
 

@@ -22,7 +22,7 @@ from fieldglass.llm.common import WordHashes, join_hot, minimizers, mix, multipl
 
 WINDOW_WORDS, ANCHOR_WORDS = 20, 5
 #: Anchors to expect of a byte of text.
-ANCHORS_PER_BYTE = 1 / 40
+ANCHORS_PER_BYTE = 1 / 48
 
 
 def window_hashes(five: np.ndarray, n: int) -> np.ndarray:
