@@ -6,6 +6,9 @@ exactly what ``bytes.split()`` yields on UTF-8 text.
 
 from __future__ import annotations
 
+import re
+from functools import lru_cache
+
 import numpy as np
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -64,6 +67,7 @@ class WordHashes(dict):
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
+@lru_cache
 def multipliers(n: int, seed: int) -> np.ndarray:
     """n odd 64-bit multipliers of a seed."""
     rng = np.random.Generator(np.random.PCG64(seed))
@@ -73,20 +77,66 @@ def multipliers(n: int, seed: int) -> np.ndarray:
 def mix(x: np.ndarray) -> np.ndarray:
     """Finalizer of a 64-bit hash; a bijection."""
     x = x ^ (x >> np.uint64(33))
-    x = x * np.uint64(0xFF51AFD7ED558CCD)
-    x = x ^ (x >> np.uint64(33))
-    x = x * np.uint64(0xC4CEB9FE1A85EC53)
-    return x ^ (x >> np.uint64(33))
+    x *= np.uint64(0xFF51AFD7ED558CCD)
+    x ^= x >> np.uint64(33)
+    x *= np.uint64(0xC4CEB9FE1A85EC53)
+    x ^= x >> np.uint64(33)
+    return x
+
+
+#: Bytes of text hashed at once.
+TEXT_PIECE = 1 << 20
+A_SPACE = re.compile(rb"[ \t\n\x0b\f\r]")
+IS_SPACE = np.isin(np.arange(256), np.frombuffer(SPACE.encode(), np.uint8))
+BYTE_HASH = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+
+
+@lru_cache
+def powers() -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd multiplier, and of its inverse, modulo 2**64."""
+    base = int(multipliers(1, 60)[0]) | 3
+    return tuple(np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(2 * TEXT_PIECE, x, np.uint64)])) for x in (base, pow(base, -1, 1 << 64)))
+
+
+def long_word(word: bytes) -> np.ndarray:
+    """The hash of a word that is longer than the tables of powers."""
+    base, total = int(powers()[0][1]), 0
+    for at in range(0, len(word), TEXT_PIECE):
+        data = np.frombuffer(word, np.uint8, min(TEXT_PIECE, len(word) - at), at)
+        total += int((BYTE_HASH[data] * powers()[0][: len(data)]).sum()) * pow(base, at, 1 << 64)
+    return mix(np.array([(total + len(word)) % (1 << 64)], np.uint64))
+
+
+def word_hashes(text: bytes) -> np.ndarray:
+    """64-bit hashes of the words of a text, as text.split() gives them, in a few vector operations a byte."""
+    if len(text) > 2 * TEXT_PIECE:
+        out, at = [], 0
+        while at < len(text):
+            found = A_SPACE.search(text, at + TEXT_PIECE)
+            end = found.start() if found else len(text)
+            piece = [text[at:end]] if end - at <= 2 * TEXT_PIECE else text[at:end].split()
+            out += [word_hashes(x) if len(x) <= 2 * TEXT_PIECE else long_word(x) for x in piece]
+            at = end
+        return np.concatenate(out)
+    data = np.frombuffer(text, np.uint8)
+    space = np.concatenate([[True], IS_SPACE[data], [True]])
+    edges = np.flatnonzero(space[1:] != space[:-1])
+    starts, ends = edges[::2], edges[1::2]
+    up, down = powers()
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(BYTE_HASH[data] * up[: len(data)])])
+    return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
 
 
 def windows(h: np.ndarray, width: int, seed: int) -> np.ndarray:
-    """Hash of each run of `width` consecutive hashes; empty if there are fewer."""
+    """Hash of each run of `width` consecutive hashes, a polynomial of them; empty if there are fewer."""
     n = len(h) - width + 1
     if n <= 0:
         return np.empty(0, np.uint64)
-    out = np.full(n, seed, np.uint64)
-    for j, m in enumerate(multipliers(width, seed)):
-        out += mix(h[j : j + n] + np.uint64(j)) * m
+    (m,) = multipliers(1, seed)
+    out = h[:n] + np.uint64(seed)
+    for j in range(1, width):
+        out *= m
+        out += h[j : j + n]
     return mix(out)
 
 

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldglass.llm import sketch
-from fieldglass.llm.common import WordHashes, join_hot, mix, multipliers, short_batches, stage, unstage, windows
+from fieldglass.llm.common import join_hot, mix, multipliers, short_batches, stage, unstage, windows, word_hashes
 from fieldglass.llm.components import joined_labels
 
 SHINGLE_WORDS, MIN_PERCENT = 5, 75
@@ -40,10 +40,11 @@ MAX_MEMBERS = 4096
 PARITY_WORDS = 16
 
 
-def shingles(text: bytes | None, hashes: WordHashes, width: int = SHINGLE_WORDS) -> np.ndarray:
+def shingles(text: bytes | None, width: int = SHINGLE_WORDS) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the shingles; a shorter text is one shingle, an empty one none."""
-    words = (text or b"").lower().split()
-    return np.unique(windows(hashes.of(words), min(width, len(words)), min(width, len(words)))) if words else np.empty(0, np.uint64)
+    words = word_hashes((text or b"").lower())
+    n = min(width, len(words))
+    return np.unique(windows(words, n, n)) if n else np.empty(0, np.uint64)
 
 
 def signatures(docs: DataFrame, width: int = SHINGLE_WORDS) -> DataFrame:
@@ -53,11 +54,10 @@ def signatures(docs: DataFrame, width: int = SHINGLE_WORDS) -> DataFrame:
     factors, shifts = multipliers(COORDINATES, 8), multipliers(COORDINATES, 9)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
         for batch in batches:
             sizes, keys, signs = [], [], []
             for text in batch.column(2).to_pylist():
-                found = shingles(text, hashes, width)
+                found = shingles(text, width)
                 sizes.append(len(found))
                 keys.append(xxhash.xxh3_128_digest(found.tobytes()) if len(found) else None)
                 signs.append([int(mix(found * f + s).min() >> np.uint64(1)) for f, s in zip(factors, shifts, strict=True)] if len(found) else None)
@@ -94,16 +94,15 @@ def shared_shingles(texts: DataFrame, width: int) -> DataFrame:
     """
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
-        yield from sketch.partial(shingles(t, hashes, width) for b in batches for t in b.column(0).to_pylist())
+        yield from sketch.partial(shingles(t, width) for b in batches for t in b.column(0).to_pylist())
 
     # A full sketch only bounds less; the parity bitmaps still do.
     bits = texts.sparkSession.sparkContext.broadcast(sketch.repeated_bits(texts.select("text").mapInArrow(partial, sketch.SCHEMA)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, maybe = WordHashes(), np.frombuffer(bits.value, np.uint8)
+        maybe = np.frombuffer(bits.value, np.uint8)
         for batch in batches:
-            found = [shingles(t, hashes, width) for t in batch.column(1).to_pylist()]
+            found = [shingles(t, width) for t in batch.column(1).to_pylist()]
             common = [int(sketch.maybe_repeated(f, maybe).sum()) for f in found]
             flips = (np.bincount((mix(f) % np.uint64(64 * PARITY_WORDS)).astype(np.int64), minlength=64 * PARITY_WORDS) & 1 for f in found)
             parity = pa.array([np.packbits(x).view(np.int64).tolist() for x in flips], pa.list_(pa.int64()))
@@ -120,14 +119,13 @@ def confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> D
     rows = rows.join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
         last: tuple[bytes | None, np.ndarray] = (None, np.empty(0, np.uint64))
         for batch in batches:
             good = []
             for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
                 if y != last[0]:
-                    last = y, shingles(y, hashes, width)
-                one, two = shingles(x, hashes, width), last[1]
+                    last = y, shingles(y, width)
+                one, two = shingles(x, width), last[1]
                 both = len(np.intersect1d(one, two, assume_unique=True))
                 good.append(100 * both >= percent * (len(one) + len(two) - both))
             yield pa.RecordBatch.from_arrays([c.filter(pa.array(good, pa.bool_())) for c in batch.columns[:2]], names=["a", "b"])

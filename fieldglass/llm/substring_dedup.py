@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldglass.llm import sketch
-from fieldglass.llm.common import WordHashes, join_hot, minimizers, mix, multipliers, short_batches, stage, unstage, windows
+from fieldglass.llm.common import join_hot, minimizers, mix, multipliers, short_batches, stage, unstage, windows, word_hashes
 
 WINDOW_WORDS, ANCHOR_WORDS = 20, 5
 #: Anchors to expect of a byte of text.
@@ -32,13 +32,13 @@ def window_hashes(five: np.ndarray, n: int) -> np.ndarray:
     return mix(ten[:n] * c + ten[10 : n + 10] * d)
 
 
-def stretches(text: bytes | None, hashes: WordHashes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def stretches(text: bytes | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Anchor hash, and first and last window start, of each stretch; and the hashes of five words."""
-    words = (text or b"").split()
+    words = word_hashes(text or b"")
     n = len(words) - WINDOW_WORDS + 1
     if n <= 0:
         return np.empty(0, np.uint64), np.empty((2, 0), np.int64), np.empty(0, np.uint64)
-    five = windows(hashes.of(words), ANCHOR_WORDS, 5)
+    five = windows(words, ANCHOR_WORDS, 5)
     at = minimizers(five, WINDOW_WORDS - ANCHOR_WORDS + 1)
     cuts = np.flatnonzero(np.diff(at)) + 1
     first = np.concatenate([[0], cuts])
@@ -51,8 +51,7 @@ def identity(docs: DataFrame, *more: Column) -> DataFrame:
 
 
 def prints() -> Callable[[bytes | None], np.ndarray]:
-    hashes = WordHashes()
-    return lambda text: stretches(text, hashes)[0]
+    return lambda text: stretches(text)[0]
 
 
 def candidates(docs: DataFrame, capacity: int) -> DataFrame:
@@ -61,11 +60,11 @@ def candidates(docs: DataFrame, capacity: int) -> DataFrame:
     table, tester = sketch.prefiltered(texts, prints, F.xxhash64("doc_id", "text_hash"), ANCHORS_PER_BYTE, capacity)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, test = WordHashes(), tester()
+        test = tester()
         for batch in batches:
             row, anchor, start, key, wins = [], [], [], [], []
             for i, (text, hits) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
-                f, ends, five = stretches(text, hashes)
+                f, ends, five = stretches(text)
                 if not len(f):
                     continue
                 hit = np.flatnonzero(test(f, hits))

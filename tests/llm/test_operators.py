@@ -125,7 +125,9 @@ def test_chunks_resist_shifts_and_hold_every_pair_once():
         assert [j for s, e in cuts for j in range(s, e)] == list(range(max(0, n - 1)))
         # Where a chunk ends depends on the three lines up to there alone, which plain integers confirm.
         def roll(three):
-            h = sum(xmix((xxhash.xxh3_64_intdigest(x) + j) % 2**64) * int(m) for j, (x, m) in enumerate(zip(three, multipliers(3, 3)))) + 3
+            h, m = 3, int(multipliers(1, 3)[0])
+            for j, x in enumerate(three):
+                h = (h * m if j else h) + xxhash.xxh3_64_intdigest(x)
             return xmix(h % 2**64)
         assert [e for _, e in cuts[:-1]] == [k for k in range(2, n - 1) if roll([lines[i] for i in at[k - 2 : k + 1]]) % 4 == 0]
 
@@ -302,12 +304,27 @@ def test_pipeline(spark):
         docs = after
 
 
+def test_word_hashes_follow_the_words(monkeypatch):
+    from fieldglass.llm import common
+
+    text = b"  a bb\ta\x0bbb a\r\nccc " + b"x" * 700 + b" y " + b"x" * 700 + b" z" * 300
+    of = {}
+    for piece in (1 << 20, 64):
+        monkeypatch.setattr(common, "TEXT_PIECE", piece)
+        for t in (text, text.strip(), b"", b" \n", b"a"):
+            got = common.word_hashes(t).tolist()
+            assert len(got) == len(t.split())
+            for w, h in zip(t.split(), got):
+                assert of.setdefault(w, h) == h
+    assert len(set(of.values())) == len(of)
+
+
 def test_parity_bitmaps_bound_the_difference(spark):
     texts = [sentence(n) for n in (1, 7, 150, 150, 3000)]
     texts += [texts[2].replace("w1", "q"), texts[4].replace("w12 ", "q "), texts[4] + " " + sentence(20)]
     rows = minhash_dedup.shared_shingles(spark.createDataFrame([(bytes([i]), t.encode()) for i, t in enumerate(texts)], "node binary, text binary"), 5).collect()
     bits = {r.node[0]: [x % 2**64 for x in r.parity] for r in rows}
-    sets = [set(minhash_dedup.shingles(t.encode(), minhash_dedup.WordHashes()).tolist()) for t in texts]
+    sets = [set(minhash_dedup.shingles(t.encode()).tolist()) for t in texts]
     for r in rows:
         assert r.n == len(sets[r.node[0]])
     for a, x in bits.items():
