@@ -51,7 +51,7 @@ def watched_points(spark: SparkSession, d: str) -> DataFrame:
 def watched_commutes(spark: SparkSession, d: str) -> DataFrame:
     """How many fields of view the straight way and the way round the corner cross, by nation."""
     wedges = C.cones(standin(spark, d, "cameras"))
-    place = lambda k: (F.lit(39.0) + (F.col(k) * 7919 % 1000) / F.lit(10000.0), F.lit(-75.5) + (F.col(k) * 104729 % 1000) / F.lit(10000.0))
+    place = lambda k: (F.lit(39.0) + (F.col(k) * 7919 % 997) / F.lit(10000.0), F.lit(-75.5) + (F.col(k) * 104729 % 1009) / F.lit(10000.0))
     (hy, hx), (wy, wx) = place("h"), place("w")
     flows = standin(spark, d, "flows").where("workers >= 60").select("h", "w", hy.alias("hy"), hx.alias("hx"), wy.alias("wy"), wx.alias("wx"))
     leg = lambda way, y1, x1, y2, x2: F.struct(F.lit(way).alias("way"), *[F.col(c).alias(n) for c, n in ((y1, "y1"), (x1, "x1"), (y2, "y2"), (x2, "x2"))])
@@ -129,7 +129,7 @@ def organized_by_range(spark: SparkSession, d: str) -> DataFrame:
 
 
 def organized_by_month(spark: SparkSession, d: str) -> DataFrame:
-    month = F.date_format(F.timestamp_millis("created"), "yyyy-MM")
+    month = F.date_format(F.timestamp_millis(F.col("created") + F.col("track") * F.lit(2_000_000_000)), "yyyy-MM")
     return items(spark, d).groupBy(month.alias("month")).agg(big(F.count(F.lit(1))).alias("n"))
 
 
@@ -221,7 +221,7 @@ ORACLE_SQL = {
     "rolling_speed": duck("points", "SELECT track, idx, round(avg(CASE WHEN speed >= 1 THEN speed END) OVER (PARTITION BY track ORDER BY ms RANGE BETWEEN 3600000 PRECEDING AND CURRENT ROW), 4) AS mean_speed FROM points"),
     "folder_totals": duck("points", ITEMS + ", x AS (SELECT array_to_string(string_split(folder, '/')[1:k], '/') AS \"of\", length FROM items, (SELECT unnest([1, 2, 3]) AS k)) SELECT \"of\", count(*) AS n, round(sum(length), 3) AS length FROM x GROUP BY 1"),
     "organized_by_range": duck("points", ITEMS + ", x AS (SELECT CAST(floor(length / 100) AS BIGINT) * 100 AS s FROM items) SELECT 'from_' || s || '_to_' || (s + 100) AS label, count(*) AS n FROM x GROUP BY 1"),
-    "organized_by_month": duck("points", ITEMS + " SELECT strftime(make_timestamp(created * 1000), '%Y-%m') AS month, count(*) AS n FROM items GROUP BY 1"),
+    "organized_by_month": duck("points", ITEMS + " SELECT strftime(make_timestamp((created + track * 2000000000) * 1000), '%Y-%m') AS month, count(*) AS n FROM items GROUP BY 1"),
     "smart_folders": duck("points", ITEMS + " SELECT track, kind, length BETWEEN 100 AND 2000 OR length > 2000 AS long, kind IN ('click', 'view') AND (folder LIKE 'all/c%' OR folder LIKE 'all/view%') AS liked FROM items"),
     "distinct_values": duck("points", ITEMS + " SELECT coalesce(kind, '') AS kind, count(*) AS n, max(created) AS latest, coalesce(min(CASE WHEN created > 10 THEN created END), -1) AS earliest FROM items GROUP BY 1"),
     "sorted_tracks": duck("points", ITEMS + " SELECT track, folder, round(length, 3) AS length FROM items ORDER BY round(length, 3) DESC NULLS LAST, folder, track LIMIT 200"),

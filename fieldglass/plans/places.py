@@ -19,7 +19,7 @@ def term_frequencies(spark: SparkSession, d: str) -> DataFrame:
 
 
 def all_terms(spark: SparkSession, d: str) -> DataFrame:
-    return S.with_all_terms(S.postings(standin(spark, d, "cameras"), "id", "name"), "id", "part 1")
+    return S.with_all_terms(S.postings(standin(spark, d, "cameras"), "id", "name"), "id", "sm ri")
 
 
 def ranked_lookup(spark: SparkSession, d: str) -> DataFrame:
@@ -38,7 +38,7 @@ def widened_search(spark: SparkSession, d: str) -> DataFrame:
 
 def faceted_places(spark: SparkSession, d: str) -> DataFrame:
     df = standin(spark, d, "cameras").withColumn("tags", F.concat_ws(";", "vendor", "kind"))
-    return df.where(S.facets({"tags": ["Brand#11", "Brand#12"]}) & F.lower("name").contains("1")).select("id")
+    return df.where(S.facets({"tags": ["Brand#11", "Brand#12"], "kind": ["economy", "small"]}) & F.lower("name").contains("r")).select("id")
 
 
 def history_rank(spark: SparkSession, d: str) -> DataFrame:
@@ -187,12 +187,12 @@ TX = lambda z: f"CAST(floor((lon + 180) / 360 * {1 << z}) AS BIGINT)"  # noqa: E
 
 ORACLE_SQL = {
     "term_frequencies": duck("cameras", ", t AS (SELECT DISTINCT id, unnest(regexp_extract_all(lower(name), '[\\p{L}\\p{N}]+')) AS token FROM cameras) SELECT token, count(*) AS n FROM t GROUP BY 1"),
-    "all_terms": duck("cameras", ", t AS (SELECT DISTINCT id, unnest(regexp_extract_all(lower(name), '[\\p{L}\\p{N}]+')) AS token FROM cameras) SELECT id FROM t GROUP BY id HAVING bool_or(token LIKE 'part%') AND bool_or(token LIKE '1%')"),
+    "all_terms": duck("cameras", ", t AS (SELECT DISTINCT id, unnest(regexp_extract_all(lower(name), '[\\p{L}\\p{N}]+')) AS token FROM cameras) SELECT id FROM t GROUP BY id HAVING bool_or(token LIKE 'sm%') AND bool_or(token LIKE 'ri%')"),
     "ranked_lookup": """WITH p AS (SELECT p_brand AS code, p_name || ' ' || p_partkey AS name FROM part) SELECT code, name, CAST(CASE WHEN lower(code) = 'brand#1' THEN 0 WHEN lower(code) LIKE 'brand#1%' THEN 1 ELSE 2 END AS BIGINT) AS rank
  FROM p WHERE contains(lower(code), 'brand#1') OR contains(lower(name), 'brand#1') ORDER BY rank, name, code LIMIT 50""",
     "nearest_camera": duck("cameras points", f", p AS (SELECT points.idx, {HAV.format(r=6372800, a='points.lat', b='points.lon', c='cameras.lat', d='cameras.lon')} AS metres FROM points JOIN cameras ON abs(points.lat - cameras.lat) < 0.003 AND abs(points.lon - cameras.lon) < 0.004) SELECT idx, round(min(metres), 3) AS metres FROM p WHERE metres <= 300 GROUP BY 1"),
     "widened_search": duck("cameras", f", p AS (SELECT id, {DIST('39.05::DOUBLE', '-75.45::DOUBLE').replace('-  -', '+ ')} AS metres FROM cameras), b AS (SELECT *, CASE WHEN metres <= 500 THEN 500 WHEN metres <= 1000 THEN 1000 WHEN metres <= 2000 THEN 2000 WHEN metres <= 5000 THEN 5000 WHEN metres <= 10000 THEN 10000 WHEN metres <= 20000 THEN 20000 WHEN metres <= 50000 THEN 50000 WHEN metres <= 100000 THEN 100000 END::DOUBLE AS radius FROM p) SELECT id, round(metres, 3) AS metres, radius FROM b WHERE radius = (SELECT min(radius) FROM b)"),
-    "faceted_places": duck("cameras", "SELECT id FROM cameras WHERE vendor IN ('Brand#11', 'Brand#12') AND contains(lower(name), '1')"),
+    "faceted_places": duck("cameras", "SELECT id FROM cameras WHERE vendor IN ('Brand#11', 'Brand#12') AND lower(kind) IN ('economy', 'small') AND contains(lower(name), 'r')"),
     "history_rank": duck("points", "SELECT track, round(sum(speed / greatest(idx, 1)::DOUBLE), 6) AS rank FROM points GROUP BY 1 ORDER BY round(sum(speed / greatest(idx, 1)::DOUBLE), 9) DESC, track LIMIT 50"),
     "distinct_names": duck("cameras", "SELECT vendor, array_to_string(list_sort(list(DISTINCT kind)), ',') AS kinds, count(DISTINCT kind) AS n FROM cameras GROUP BY 1"),
     "tiles": duck("cameras", f", t AS (SELECT id, {TX(15)} AS x, CAST(floor((1 - ln(tan(radians(lat)) + 1 / cos(radians(lat))) / pi()) / 2 * 32768) AS BIGINT) AS y FROM cameras) SELECT id, x, y, CAST(list_sum(list_transform(range(0, 16), lambda i: (((x >> i) & 1) << (2 * i)) + (((y >> i) & 1) << (2 * i + 1)))) AS BIGINT) AS code FROM t"),

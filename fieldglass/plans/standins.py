@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-LAT = "CAST(39 AS DOUBLE) + CAST(({k} * 7919) % 1000 AS DOUBLE) / CAST(10000 AS DOUBLE)"
-LON = "CAST(-75.5 AS DOUBLE) + CAST(({k} * 104729) % 1000 AS DOUBLE) / CAST(10000 AS DOUBLE)"
+# Two prime moduli, so that latitude and longitude vary independently; points lie off the cameras.
+LAT = "CAST(39 AS DOUBLE) + CAST(({k} * 7919) % 997 AS DOUBLE) / CAST(10000 AS DOUBLE)"
+LON = "CAST(-75.5 AS DOUBLE) + CAST(({k} * 104729) % 1009 AS DOUBLE) / CAST(10000 AS DOUBLE)"
+P_LAT = "CAST(39.00013 AS DOUBLE) + CAST(({k} * 6151) % 991 AS DOUBLE) / CAST(10000 AS DOUBLE)"
+P_LON = "CAST(-75.49979 AS DOUBLE) + CAST(({k} * 92821) % 1013 AS DOUBLE) / CAST(10000 AS DOUBLE)"
 
 CAMERAS = f"""SELECT p_partkey AS id, {LAT.format(k='p_partkey')} AS lat, {LON.format(k='p_partkey')} AS lon,
  p_brand AS vendor, p_type AS kind, p_name AS name, p_size AS size,
@@ -13,7 +16,7 @@ CAMERAS = f"""SELECT p_partkey AS id, {LAT.format(k='p_partkey')} AS lat, {LON.f
   WHEN p_partkey % 10 = 0 THEN concat(CAST(p_partkey * 37 % 180 AS STRING), ';', CAST(p_partkey * 37 % 180 + 180 AS STRING))
   WHEN p_partkey % 13 = 0 THEN NULL WHEN p_partkey % 23 = 0 THEN 'NE' ELSE CAST(p_partkey * 37 % 360 AS STRING) END AS direction
  FROM part"""
-POINTS = f"""SELECT user_id AS track, event_id AS idx, {{ms}} AS ms, {LAT.format(k='event_id')} AS lat, {LON.format(k='event_id')} AS lon,
+POINTS = f"""SELECT user_id AS track, event_id AS idx, {{ms}} AS ms, {P_LAT.format(k='event_id')} AS lat, {P_LON.format(k='event_id')} AS lon,
  value AS ele, CAST(event_id * 31 % 200 AS DOUBLE) / CAST(10 AS DOUBLE) AS speed, event_type AS kind FROM events"""
 FLOWS = """SELECT o_custkey AS h, l_suppkey AS w, sum(l_quantity) AS workers FROM orders JOIN lineitem ON o_orderkey = l_orderkey
  WHERE o_custkey <> l_suppkey GROUP BY o_custkey, l_suppkey"""

@@ -34,8 +34,8 @@ def test_segments_meet_wedges_as_by_all_pairs(spark):
 
 
 @pytest.mark.parametrize("direction, heads", [
-    ("137", [(137, 45)]), ("144-189", [(166.5, 45)]), ("338-23", [(0.5, 45)]), ("320;190", [(320, 45), (190, 45)]), ("199-269;325-35", [(234, 70), (0, 70)]),
-    ("NE", [(45, 45)]), ("90-90", [(112.5, 45)]), ("junk", []), ("", []), (None, []), ("-10", [(350, 45)]),
+    ("200", [(200, 45)]), ("10-30", [(20, 20)]), ("350-10", [(0, 20)]), ("15;75", [(15, 45), (75, 45)]), ("30-60;340-0", [(45, 30), (350, 20)]), ("w", [(270, 45)]), ("N E", [(45, 45)]),
+    ("20-20", [(42.5, 45)]), ("up", []), (" ; ", []), (None, []), ("-90", [(270, 45)]), (".5", [(0.5, 45)]), ("5.", [(5, 45)]), ("1e2", [(100, 45)]), ("0x10", []), ("1-2-3", []), ("NaN", []),
 ])
 def test_directions(spark, direction, heads):
     df = spark.createDataFrame([(direction,)], "d string")
