@@ -6,14 +6,19 @@ exact test follows within a cell.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldglass.functions import geo
 from fieldglass.functions.text import DEFAULT_SPAN, heads
 
-RADIUS_M, LOOKUP_CELL, JOIN_CELL = 60.0, 0.25, 0.001
+# Reach of a camera in metres, side of a look-up cell and of a request's box in degrees, and most hits of a request.
+RADIUS_M, LOOKUP_CELL = 60.0, 0.25
 MAX_SIDE, MAX_HITS = 5.0, 20_000
+#: Side of the cells in which points, segments and cones meet.
+JOIN_CELL = 0.001
 
 
 def classified(df: DataFrame, vendor: str, include: str | None = None, exclude: str | None = None) -> DataFrame:
@@ -35,7 +40,7 @@ def exploded_heads(df: DataFrame) -> DataFrame:
 
 
 def in_box(df: DataFrame, south: float, west: float, north: float, east: float, limit: int = MAX_HITS) -> DataFrame:
-    """Points in a box, all sides inclusive, at most `limit`, with a flag that tells of more.
+    """Points in a box, all sides inclusive, at most `limit` by id, with a flag that tells of more.
 
     The box is clamped to the globe; inverted boxes and sides above five degrees are refused.
     """
@@ -44,9 +49,10 @@ def in_box(df: DataFrame, south: float, west: float, north: float, east: float,
         raise ValueError("the box is inverted")
     if north - south > MAX_SIDE or east - west > MAX_SIDE:
         raise ValueError(f"a side of the box exceeds {MAX_SIDE} degrees")
-    hits = df.where(F.col("lat").between(south, north) & F.col("lon").between(west, east))
+    cells = geo.cell(F.col("lat"), LOOKUP_CELL).between(math.floor(south / LOOKUP_CELL), math.floor(north / LOOKUP_CELL)) & geo.cell(F.col("lon"), LOOKUP_CELL).between(math.floor(west / LOOKUP_CELL), math.floor(east / LOOKUP_CELL))
+    hits = df.where(cells & F.col("lat").between(south, north) & F.col("lon").between(west, east))
     more = hits.limit(limit + 1).agg((F.count(F.lit(1)) > limit).alias("truncated"))
-    return hits.limit(limit).join(F.broadcast(more))
+    return hits.orderBy("id").limit(limit).join(F.broadcast(more))
 
 
 def watched_points(points: DataFrame, heads_: DataFrame, half_span: float = DEFAULT_SPAN / 2) -> DataFrame:
@@ -78,20 +84,37 @@ def in_cells(df: DataFrame, lo_lat: Column, hi_lat: Column, lo_lon: Column, hi_l
     return df.select("*", F.explode(ys).alias("cy")).select("*", F.explode(xs).alias("cx"))
 
 
+def passed_cells(df: DataFrame, x1: str, y1: str, x2: str, y2: str, size: float, margin: float = 0.0) -> DataFrame:
+    """A row for each cell (cy, cx) that a segment passes, widened by a margin: rows grow with its length, not with its box."""
+    a, b, c, d = (F.col(n) for n in (x1, y1, x2, y2))
+    m, s = F.lit(margin), F.lit(size)
+    ys = F.sequence(geo.cell(F.least(b, d) - m, size), geo.cell(F.greatest(b, d) + m, size))
+    rows = df.select("*", F.explode(ys).alias("cy"))
+    # The part of the segment between the row's lower and upper side, as shares of its length.
+    slope = F.nullif(d - b, F.lit(0.0))
+    t1, t2 = ((F.col("cy") + k) * s + e - b for k, e in ((F.lit(0), -m), (F.lit(1), m)))
+    clip = lambda t: F.greatest(F.lit(0.0), F.least(F.lit(1.0), t / slope))
+    lo, hi = (F.when(slope.isNull(), F.lit(whole)).otherwise(f(clip(t1), clip(t2))) for f, whole in ((F.least, 0.0), (F.greatest, 1.0)))
+    xa, xb = a + (c - a) * lo, a + (c - a) * hi
+    eps = F.lit(1e-9)
+    xs = F.sequence(geo.cell(F.least(xa, xb) - m - eps, size), geo.cell(F.greatest(xa, xb) + m + eps, size))
+    return rows.select("*", F.explode(xs).alias("cx"))
+
+
 def crossed_cones(segments: DataFrame, wedges: DataFrame) -> DataFrame:
-    """Pairs (segment, id, head) of a segment (x1, y1, x2, y2) that meets a wedge.
+    """Pairs (segment, id, head) of a segment (x1, y1, x2, y2) that meets a wedge, each once; segments equal in every column are one.
 
-    A pair may share several cells; it is reported in the cell that holds the larger of the
-    two boxes' lower corners, so no distinct is needed.
+    Segments are posted in the cells that they pass, wedges in those of their box. A pair may
+    share several cells; the few that meet are made distinct at the end.
     """
     low, high = (lambda a, b: F.least(F.col(a), F.col(b))), (lambda a, b: F.greatest(F.col(a), F.col(b)))
-    left = in_cells(segments, low("y1", "y2"), high("y1", "y2"), low("x1", "x2"), high("x1", "x2"))
+    left = passed_cells(segments, "x1", "y1", "x2", "y2", JOIN_CELL)
     right = in_cells(wedges.select("id", "head", "ring", "lo_lat", "hi_lat", "lo_lon", "hi_lon"), *(F.col(c) for c in ("lo_lat", "hi_lat", "lo_lon", "hi_lon")))
-    own = (geo.cell(F.greatest(low("y1", "y2"), F.col("lo_lat")), JOIN_CELL) == F.col("cy")) & (geo.cell(F.greatest(low("x1", "x2"), F.col("lo_lon")), JOIN_CELL) == F.col("cx"))
     boxes = (low("y1", "y2") <= F.col("hi_lat")) & (high("y1", "y2") >= F.col("lo_lat")) & (low("x1", "x2") <= F.col("hi_lon")) & (high("x1", "x2") >= F.col("lo_lon"))
     ring = F.col("ring")
     edges = F.arrays_zip(ring.alias("p"), F.slice(ring, 2, 1000).alias("q"))
     ends = [F.col(c) for c in ("x1", "y1", "x2", "y2")]
     meets = F.exists(edges, lambda e: F.coalesce(geo.segments_cross(*ends, e["p"]["lon"], e["p"]["lat"], e["q"]["lon"], e["q"]["lat"]), F.lit(False)))
     inside = geo.in_ring(F.col("x1"), F.col("y1"), ring)
-    return left.join(right, ["cy", "cx"]).where(own & boxes).where(meets | inside).drop("cy", "cx", "ring", "lo_lat", "hi_lat", "lo_lon", "hi_lon")
+    found = left.join(right, ["cy", "cx"]).where(boxes).where(meets | inside)
+    return found.drop("cy", "cx", "ring", "lo_lat", "hi_lat", "lo_lon", "hi_lon").distinct()

@@ -186,7 +186,19 @@ WEDGE = """, cone AS (SELECT id, head, lat, lon, i, radians(bearing - span / 2 +
  ring AS (SELECT id, head, i + 1 AS i, lat + 60 * cos(a) / 111320.0::DOUBLE AS y, lon + 60 * sin(a) / (111320.0::DOUBLE * cos(radians(lat))) AS x FROM cone
   UNION ALL SELECT id, head, k AS i, lat AS y, lon AS x FROM heads, (SELECT unnest([0, 10]) AS k))"""
 
+CROSS = lambda a, b, c: f"(({b}x - {a}x) * ({c}y - {a}y) - ({b}y - {a}y) * ({c}x - {a}x))"
+COMMUTES = """, f AS (SELECT h, w, 39.0::DOUBLE + (h * 7919 % 997) / 10000.0::DOUBLE AS hy, -75.5::DOUBLE + (h * 104729 % 1009) / 10000.0::DOUBLE AS hx, 39.0::DOUBLE + (w * 7919 % 997) / 10000.0::DOUBLE AS wy, -75.5::DOUBLE + (w * 104729 % 1009) / 10000.0::DOUBLE AS wx FROM flows WHERE workers >= 60),
+ g AS (SELECT h, w, 'base' AS way, 0 AS leg, hx AS ax, hy AS ay, wx AS zx, wy AS zy FROM f UNION ALL SELECT h, w, 'avoid', 1, hx, hy, wx, hy FROM f UNION ALL SELECT h, w, 'avoid', 2, wx, hy, wx, wy FROM f),
+ e AS (SELECT id, head, x AS cx, y AS cy, lead(x) OVER k AS dx, lead(y) OVER k AS dy FROM ring WINDOW k AS (PARTITION BY id, head ORDER BY i)),
+ box AS (SELECT id, head, min(y) AS y0, max(y) AS y1, min(x) AS x0, max(x) AS x1 FROM ring GROUP BY id, head),
+ near AS (SELECT g.*, id, head FROM g JOIN box ON least(ay, zy) <= y1 AND greatest(ay, zy) >= y0 AND least(ax, zx) <= x1 AND greatest(ax, zx) >= x0),
+ met AS (SELECT h, w, way, leg, id, head, bool_or({ac} * {ad} <= 0 AND {ca} * {cb} <= 0 AND greatest(abs({ac}), abs({ad})) > 0) AS meets,
+  sum(CASE WHEN (cy > ay) <> (dy > ay) AND ax < (dx - cx) * (ay - cy) / nullif(dy - cy, 0) + cx THEN 1 ELSE 0 END) % 2 = 1 AS inside FROM near JOIN e USING (id, head) WHERE dx IS NOT NULL GROUP BY ALL),
+ per AS (SELECT h, w, count(DISTINCT (id, head)) FILTER (way = 'base') AS base, count(DISTINCT (id, head)) FILTER (way = 'avoid') AS avoid FROM met WHERE meets OR inside GROUP BY h, w)
+ SELECT h % 25 AS state, count(*) AS n, CAST(sum(coalesce(base, 0)) AS BIGINT) AS base, CAST(sum(coalesce(avoid, 0)) AS BIGINT) AS avoid, round(avg(CASE WHEN base > 0 THEN 100.0::DOUBLE ELSE 0 END), 4) AS reached FROM f LEFT JOIN per USING (h, w) GROUP BY 1""".format(ac=CROSS("a", "z", "c"), ad=CROSS("a", "z", "d"), ca=CROSS("c", "d", "a"), cb=CROSS("c", "d", "z"))
+
 ORACLE_SQL = {
+    "watched_commutes": duck("cameras flows", HEADS.replace(" heads AS (", " heads AS (SELECT * FROM (").replace("t FROM n)", "t FROM n) WHERE bearing IS NOT NULL)") + WEDGE + COMMUTES),
     "camera_heads": duck("cameras", HEADS + " SELECT id, head, bearing, span FROM heads WHERE bearing IS NOT NULL"),
     "client_heads": duck("cameras", HEADS + " SELECT id, bearing FROM heads WHERE t <> 'NE'"),
     "camera_build_counts": duck("cameras", ", c AS (SELECT CASE WHEN coalesce(vendor, '') = '' THEN 'untagged' WHEN contains(lower(vendor), 'brand#1') THEN 'excluded' WHEN direction IS NULL THEN 'no_direction' ELSE 'kept' END AS outcome FROM cameras) SELECT outcome, count(*) AS n FROM c GROUP BY 1"),
