@@ -83,7 +83,7 @@ def removed(docs: DataFrame, keep: list[str], capacity: int = sketch.CAPACITY) -
     """`row` (a struct of the columns `keep`), text, n_lines, n_chunks, n_removed_chunks, n_removed_lines."""
     short_batches(docs.sparkSession)
     texts = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.col("text").cast("binary").alias("text"))
-    table, tester = sketch.prefiltered(texts, prints, F.xxhash64("doc_id", "text_hash"), PAIRS_PER_BYTE, capacity)
+    table, tester, release = sketch.prefiltered(texts, prints, F.xxhash64("doc_id", "text_hash"), PAIRS_PER_BYTE, capacity)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         test = tester()
@@ -113,6 +113,7 @@ def removed(docs: DataFrame, keep: list[str], capacity: int = sketch.CAPACITY) -
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     found = stage(table.mapInArrow(run, f"doc_id {kind}, text_hash long, start int, n int, digest binary, pairs array<struct<s:int,n:int,pair:binary>>"), "chunks")
+    release()
     gone = repeated_lines(found)
     rows = docs.select(F.struct(*keep).alias("row"), "doc_id", F.xxhash64("text").alias("text_hash"), F.col("text").cast("binary").alias("text"))
     rows = rows.join(gone, F.col("doc_id").eqNullSafe(F.col("gone_id")) & (F.col("text_hash") == F.col("gone_hash")), "left")

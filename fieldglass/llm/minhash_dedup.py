@@ -21,6 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,6 +37,8 @@ COORDINATES, MIN_MATCHES = 24, 7
 STAR_ROUNDS, PAIRS_PER_CLASS = 6, 2
 #: Members of a posting beyond which its pairs must share a second posting to meet.
 MAX_MEMBERS = 4096
+#: Shingles to expect of a byte of text.
+SHINGLES_PER_BYTE = 1 / 6
 #: 64-bit words of a parity bitmap.
 PARITY_WORDS = 16
 
@@ -85,32 +88,34 @@ def postings(classes: DataFrame) -> DataFrame:
     return ranked.where(spare <= 1).select("token", "node", (spare <= 0).alias("first"))
 
 
-def shared_shingles(texts: DataFrame, width: int) -> DataFrame:
-    """node, n, common, parity: the size of the set and how many of its shingles other nodes may have.
+def shared_shingles(texts: DataFrame, width: int) -> tuple[DataFrame, Broadcast]:
+    """node, n, common, parity, and the bits to free once these are read: the size of the set and how many of its shingles other nodes may have.
 
     The sketch counts from above, so a shingle it has seen once is alone for certain, and
     common is never too small. Each shingle flips one bit of the parity bitmap, so two sets
     differ in at least as many shingles as their bitmaps do in bits.
     """
 
+    counters = sketch.width_for(int((texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0) * SHINGLES_PER_BYTE))
+
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from sketch.partial(shingles(t, width) for b in batches for t in b.column(0).to_pylist())
+        yield from sketch.partial((shingles(t, width) for b in batches for t in b.column(0).to_pylist()), counters)
 
     # A full sketch only bounds less; the parity bitmaps still do.
-    bits = texts.sparkSession.sparkContext.broadcast(sketch.repeated_bits(texts.select("text").mapInArrow(partial, sketch.SCHEMA)))
+    bits = texts.sparkSession.sparkContext.broadcast(sketch.repeated_bits(texts.select("text").mapInArrow(partial, sketch.SCHEMA), counters))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         maybe = np.frombuffer(bits.value, np.uint8)
         for batch in batches:
             found = [shingles(t, width) for t in batch.column(1).to_pylist()]
-            common = [int(sketch.maybe_repeated(f, maybe).sum()) for f in found]
+            common = [int(sketch.maybe_repeated(f, maybe, counters).sum()) for f in found]
             flips = (np.bincount((mix(f) % np.uint64(64 * PARITY_WORDS)).astype(np.int64), minlength=64 * PARITY_WORDS) & 1 for f in found)
             parity = pa.array([np.packbits(x).view(np.int64).tolist() for x in flips], pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([len(f) for f in found], pa.int64()), pa.array(common, pa.int64()), parity], names=["node", "n", "common", "parity"]
             )
 
-    return texts.select("node", "text").mapInArrow(run, "node binary, n long, common long, parity array<long>")
+    return texts.select("node", "text").mapInArrow(run, "node binary, n long, common long, parity array<long>"), bits
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
@@ -147,7 +152,9 @@ def classified(docs: DataFrame, width: int = SHINGLE_WORDS, percent: int = MIN_P
     whole = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.col("text").cast("binary").alias("text"))
     texts = whole.join(involved, F.col("doc_id").eqNullSafe(F.col("rep_id")) & (F.col("text_hash") == F.col("rep_hash")))
     texts = stage(texts.select("node", "text").dropDuplicates(["node"]), "texts")
-    sizes = stage(shared_shingles(texts, width).where(100 * F.col("common") >= percent * F.col("n")).join(classes.select("node", "signature"), "node"), "sizes")
+    shared, bits = shared_shingles(texts, width)
+    sizes = stage(shared.where(100 * F.col("common") >= percent * F.col("n")).join(classes.select("node", "signature"), "node"), "sizes")
+    bits.destroy()
     labels = connect(posted, sizes, texts, width, percent)
 
     least = labels.join(classes.select("node", "least_id"), "node").groupBy("component").agg(F.min("least_id").alias("component_id"))

@@ -10,6 +10,7 @@ of unrepeated values let through thus stays flat however large the input is.
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 
 from fieldglass.llm.common import mix, multipliers
 
-#: Two rows of 2**27 counters: 32 MB of bits in all where they are broadcast, whatever the input.
+#: Two rows of 2**27 counters at most: 32 MB of bits in all where they are broadcast.
 DEPTH, WIDTH_BITS = 2, 27
 #: Counters in a block; a task merges one block at a time.
 BLOCK_BITS = 18
@@ -33,6 +34,11 @@ CAPACITY = 1 << 25
 RANGE_VALUES = 1 << 20
 
 
+def width_for(expected: int) -> int:
+    """Counters of a row, as a power of two: four for each value expected, within bounds."""
+    return min(WIDTH_BITS, max(BLOCK_BITS, math.ceil(math.log2(4 * max(1, expected)))))
+
+
 def slots(values: np.ndarray, width_bits: int = WIDTH_BITS) -> np.ndarray:
     """The counter of each value in each row, rows one after the other."""
     factors = multipliers(DEPTH, 10)
@@ -71,7 +77,7 @@ def repeated_bits(partials: DataFrame, width_bits: int = WIDTH_BITS) -> bytes:
         block, seen, twice = -1, np.zeros(0, bool), np.zeros(0, bool)
 
         def done() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([np.packbits(twice).tobytes()], pa.binary())], names=["block", "counters"])
+            return pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([zlib.compress(np.packbits(twice).tobytes(), 1)], pa.binary())], names=["block", "counters"])
 
         for batch in batches:
             for b, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -90,7 +96,7 @@ def repeated_bits(partials: DataFrame, width_bits: int = WIDTH_BITS) -> bytes:
     merged = partials.repartition(F.col("block")).sortWithinPartitions("block").mapInArrow(run, SCHEMA)
     for row in merged.toLocalIterator():
         at = row["block"] << (BLOCK_BITS - 3)
-        bits[at : at + (1 << (BLOCK_BITS - 3))] = np.frombuffer(row["counters"], np.uint8)
+        bits[at : at + (1 << (BLOCK_BITS - 3))] = np.frombuffer(zlib.decompress(row["counters"]), np.uint8)
     return bits.tobytes()
 
 
@@ -171,9 +177,9 @@ def answered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 Tester = Callable[[np.ndarray, list[int] | None], np.ndarray]
 
 
-def by_bits(bits: Broadcast) -> Tester:
+def by_bits(bits: Broadcast, width: int) -> Tester:
     maybe = np.frombuffer(bits.value, np.uint8)
-    return lambda values, hits: maybe_repeated(values, maybe)
+    return lambda values, hits: maybe_repeated(values, maybe, width)
 
 
 def by_answers() -> Tester:
@@ -188,8 +194,8 @@ def by_answers() -> Tester:
 
 def prefiltered(
     texts: DataFrame, prints: Callable[[], Callable[[bytes | None], np.ndarray]], key: Column, per_byte: float, capacity: int = CAPACITY
-) -> tuple[DataFrame, Callable[[], Tester]]:
-    """`texts` with a last column `hits_`, and what makes, on a worker, a function of (prints of a text, its hits_) to a mask of those that may be repeated.
+) -> tuple[DataFrame, Callable[[], Tester], Callable[[], None]]:
+    """`texts` with a last column `hits_`; what makes, on a worker, a function of (prints of a text, its hits_) to a mask of those that may be repeated; and what frees the bits once the table is read.
 
     prints: makes, once per worker, a function from a text to its values. key: identifies a
     text; where two share it, both get the answers of either. per_byte: values to expect of a
@@ -198,13 +204,14 @@ def prefiltered(
     spark = texts.sparkSession
     expected = int((texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0) * per_byte)
     if expected <= capacity:
+        width = width_for(expected)
 
         def partials(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             of = prints()
-            yield from partial(of(t) for b in batches for t in b.column(0).to_pylist())
+            yield from partial((of(t) for b in batches for t in b.column(0).to_pylist()), width)
 
-        bits = spark.sparkContext.broadcast(repeated_bits(texts.select("text").mapInArrow(partials, SCHEMA)))
-        return texts.withColumn("hits_", F.lit(None).cast("array<int>")), lambda: by_bits(bits)
+        bits = spark.sparkContext.broadcast(repeated_bits(texts.select("text").mapInArrow(partials, SCHEMA), width))
+        return texts.withColumn("hits_", F.lit(None).cast("array<int>")), lambda: by_bits(bits, width), bits.destroy
     range_bits = max(0, math.ceil(math.log2(expected / min(RANGE_VALUES, capacity))))
 
     def spreading(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -215,4 +222,4 @@ def prefiltered(
     dealt = values.repartition(F.when(F.col("range") < 0, F.xxhash64("key")).otherwise(F.xxhash64("range"))).sortWithinPartitions("range")
     hits = dealt.mapInArrow(answered, "key long, at int").groupBy("key").agg(F.collect_set("at").alias("hits_"))
     keyed = texts.withColumn("key_", key)
-    return keyed.join(hits, F.col("key_") == F.col("key"), "left").drop("key", "key_"), by_answers
+    return keyed.join(hits, F.col("key_") == F.col("key"), "left").drop("key", "key_"), by_answers, lambda: None

@@ -57,7 +57,7 @@ def prints() -> Callable[[bytes | None], np.ndarray]:
 def candidates(docs: DataFrame, capacity: int) -> DataFrame:
     """A row for each stretch whose anchor is estimated repeated."""
     texts = identity(docs)
-    table, tester = sketch.prefiltered(texts, prints, F.xxhash64("doc_id", "text_hash"), ANCHORS_PER_BYTE, capacity)
+    table, tester, release = sketch.prefiltered(texts, prints, F.xxhash64("doc_id", "text_hash"), ANCHORS_PER_BYTE, capacity)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         test = tester()
@@ -91,7 +91,9 @@ def candidates(docs: DataFrame, capacity: int) -> DataFrame:
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, text_hash long, anchor long, key long, start int, windows array<long>"
-    return stage(table.mapInArrow(run, schema), "stretches")
+    out = stage(table.mapInArrow(run, schema), "stretches")
+    release()
+    return out
 
 
 def removed_starts(found: DataFrame) -> DataFrame:

@@ -75,7 +75,7 @@ def prints() -> Callable[[bytes | None], np.ndarray]:
 def candidates(docs: DataFrame, capacity: int) -> DataFrame:
     """doc_id, text_hash, anchor, key, start, n, place, bytes: each stretch whose anchor is estimated repeated; place: of the anchor in the bytes."""
     texts = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.col("text").cast("binary").alias("text"))
-    table, tester = sketch.prefiltered(texts, prints, F.xxhash64("doc_id", "text_hash"), ANCHORS_PER_BYTE, capacity)
+    table, tester, release = sketch.prefiltered(texts, prints, F.xxhash64("doc_id", "text_hash"), ANCHORS_PER_BYTE, capacity)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         test = tester()
@@ -105,7 +105,9 @@ def candidates(docs: DataFrame, capacity: int) -> DataFrame:
                 )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return stage(table.mapInArrow(run, f"doc_id {kind}, text_hash long, anchor long, key long, start long, n int, place int, bytes binary"), "stretches")
+    out = stage(table.mapInArrow(run, f"doc_id {kind}, text_hash long, anchor long, key long, start long, n int, place int, bytes binary"), "stretches")
+    release()
+    return out
 
 
 def runs(at: np.ndarray) -> list[dict[str, int]]:
