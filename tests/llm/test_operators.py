@@ -322,7 +322,7 @@ def test_word_hashes_follow_the_words(monkeypatch):
 def test_parity_bitmaps_bound_the_difference(spark):
     texts = [sentence(n) for n in (1, 7, 150, 150, 3000)]
     texts += [texts[2].replace("w1", "q"), texts[4].replace("w12 ", "q "), texts[4] + " " + sentence(20)]
-    rows = minhash_dedup.shared_shingles(spark.createDataFrame([(bytes([i]), t.encode()) for i, t in enumerate(texts)], "node binary, text binary"), 5).collect()
+    rows = minhash_dedup.shared_shingles(spark.createDataFrame([(bytes([i]), t.encode()) for i, t in enumerate(texts)], "node binary, text binary"), 5)[0].collect()
     bits = {r.node[0]: [x % 2**64 for x in r.parity] for r in rows}
     sets = [set(minhash_dedup.shingles(t.encode()).tolist()) for t in texts]
     for r in rows:
