@@ -80,12 +80,13 @@ def last_by_key(df: DataFrame, keys: list[str], order: str) -> DataFrame:
 OVERPASS = "osm3s struct<timestamp_osm_base:string>, remark string, elements array<struct<type:string,id:bigint,lat:double,lon:double,tags:map<string,string>>>"
 
 
-def overpass_nodes(spark: SparkSession, path: str) -> DataFrame:
-    """Nodes of query answers; an answer that reports a time-out or a runtime error fails the read instead of looking empty."""
+def overpass_nodes(spark: SparkSession, path: str, tile: str | None = None) -> DataFrame:
+    """Nodes of query answers, with the partition column `tile` if the folder has one; an answer that reports a time-out or a runtime error fails the read instead of looking empty."""
     df = spark.read.schema(OVERPASS).json(path, multiLine=True)
     bad = F.coalesce(F.lower("remark").rlike("timed out|runtime error"), F.lit(False))
     checked = F.when(bad, F.raise_error(F.concat(F.lit("the answer is not complete: "), F.col("remark")))).otherwise(F.col("elements"))
-    return df.select(F.col("osm3s.timestamp_osm_base").alias("stamp"), F.explode(checked.cast("array<struct<type:string,id:bigint,lat:double,lon:double,tags:map<string,string>>>")).alias("e")).where("e.type = 'node'").select("stamp", "e.id", "e.lat", "e.lon", "e.tags")
+    kept = [tile] if tile else []
+    return df.select(*kept, F.col("osm3s.timestamp_osm_base").alias("stamp"), F.explode(checked.cast("array<struct<type:string,id:bigint,lat:double,lon:double,tags:map<string,string>>>")).alias("e")).where("e.type = 'node'").select(*kept, "stamp", "e.id", "e.lat", "e.lon", "e.tags")
 
 
 def merged_regions(regions: list[DataFrame], key: str = "id") -> DataFrame:
@@ -97,10 +98,24 @@ def merged_regions(regions: list[DataFrame], key: str = "id") -> DataFrame:
     return last_by_key(out, [key], "region_").drop("region_")
 
 
-def geojson_polygons(spark: SparkSession, path: str) -> DataFrame:
-    """id and rings (outer and inner, of every polygon) of Polygon and MultiPolygon features."""
-    schema = "features array<struct<id:string,geometry:struct<type:string,coordinates:string>>>"
-    df = spark.read.schema(schema).json(path, multiLine=True).select(F.explode("features").alias("f"))
+def new_ids(rows: DataFrame, region: str, key: str = "id") -> DataFrame:
+    """region, n, new: rows of each region, and those whose key no earlier region has."""
+    first = rows.groupBy(key).agg(F.min(region).alias("first_"))
+    seen = rows.groupBy(region, key).agg(F.count(F.lit(1)).alias("n_")).join(first, key)
+    return seen.groupBy(region).agg(F.sum("n_").alias("n"), F.sum((F.col("first_") == F.col(region)).cast("long")).alias("new"))
+
+
+def geojson_polygons(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """id and rings (outer and inner, of every polygon) of Polygon and MultiPolygon features.
+
+    A document is a collection, one feature, or a bare geometry: a whole file, or with `lines` one of its lines.
+    """
+    geometry = "struct<type:string,coordinates:string>"
+    feature = f"struct<id:string,geometry:{geometry}>"
+    df = spark.read.schema(f"id string, type string, coordinates string, geometry {geometry}, features array<{feature}>").json(path, multiLine=not lines)
+    bare = F.struct("type", "coordinates").cast(geometry)
+    one_feature = F.array(F.struct(F.col("id"), F.coalesce("geometry", bare).alias("geometry")).cast(feature))
+    df = df.select(F.explode(F.coalesce("features", one_feature)).alias("f"))
     g = F.col("f.geometry.coordinates")
     many = F.from_json(g, "array<array<array<array<double>>>>")
     one = F.from_json(g, "array<array<array<double>>>")
