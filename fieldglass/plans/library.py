@@ -210,14 +210,15 @@ def glide_ratios(spark: SparkSession, d: str) -> DataFrame:
 
 
 def distances_between_times(spark: SparkSession, d: str) -> DataFrame:
-    """Metres of the legs strictly inside the middle of each track's time."""
+    """Metres of the legs whose both ends lie strictly inside the middle of each track's time; 0 without one."""
     from fieldglass.operators.tracks import legs
 
-    df = legs(standin(spark, d, "points"))
+    df = legs(standin(spark, d, "points")).withColumn("from_ms", F.lag("ms").over(Window.partitionBy("track").orderBy("idx")))
     spans = df.groupBy("track").agg(F.min("ms").alias("a"), F.max("ms").alias("b"))
     spans = spans.select("track", (col("a") + F.floor((col("b") - col("a")) / 4)).alias("start"), (col("b") - F.floor((col("b") - col("a")) / 4)).alias("end"))
-    inside = df.join(spans, "track").where((col("ms") > col("start")) & (col("ms") < col("end")))
-    return inside.groupBy("track").agg(r(F.sum("metres"), 3).alias("metres"))
+    inside = lambda c: (col(c) > col("start")) & (col(c) < col("end"))
+    metres = F.coalesce(F.sum(F.when(inside("ms") & inside("from_ms"), col("metres"))), F.lit(0.0))
+    return df.join(spans, "track").groupBy("track").agg(r(metres, 3).alias("metres"))
 
 
 def transferred_heights(spark: SparkSession, d: str) -> DataFrame:
@@ -356,7 +357,7 @@ ORACLE_SQL = {
     "items_by_category": duck("cameras", "SELECT CASE WHEN id % 8 > 0 THEN trim(vendor) ELSE '' END AS category, count(*) AS n, min(id) AS first FROM cameras GROUP BY 1"),
     "grouped_hits": "WITH a AS (SELECT doc_id % 300 AS route, lang, doc_id, CASE lang WHEN 'fr' THEN 0 WHEN 'en' THEN 1 ELSE 2 END AS k FROM documents WHERE lang IS NOT NULL), l AS (SELECT route, array_to_string(list_sort(list(DISTINCT lang)), ',') AS langs FROM a GROUP BY 1) SELECT route, lang, doc_id, langs FROM a JOIN l USING (route) QUALIFY row_number() OVER (PARTITION BY route ORDER BY k, lang, doc_id) = 1",
     "glide_ratios": duck("points", LEGS + ", a AS (SELECT track, idx, sum(coalesce(metres, 0)) OVER w AS m, first_value(ele) OVER w - last_value(ele) OVER w AS lost FROM legs WINDOW w AS (PARTITION BY track ORDER BY ms RANGE BETWEEN 3600000 PRECEDING AND CURRENT ROW)) SELECT track, idx, round(m / CASE WHEN lost > 0.1::DOUBLE THEN lost END, 3) AS ratio FROM a"),
-    "distances_between_times": duck("points", LEGS + ", s AS (SELECT track, min(ms) + (max(ms) - min(ms)) // 4 AS a, max(ms) - (max(ms) - min(ms)) // 4 AS b FROM points GROUP BY 1) SELECT track, round(sum(metres), 3) AS metres FROM legs JOIN s USING (track) WHERE ms > a AND ms < b GROUP BY 1"),
+    "distances_between_times": duck("points", LEGS + ", s AS (SELECT track, min(ms) + (max(ms) - min(ms)) // 4 AS a, max(ms) - (max(ms) - min(ms)) // 4 AS b FROM points GROUP BY 1) SELECT track, round(coalesce(sum(CASE WHEN ms > a AND ms < b AND pms > a AND pms < b THEN metres END), 0), 3) AS metres FROM legs JOIN s USING (track) GROUP BY 1"),
     "transferred_heights": duck("cameras points", ", k AS (SELECT CAST(round(lat * 100) AS BIGINT) AS qy, CAST(round(lon * 100) AS BIGINT) AS qx, arg_max(ele, idx) AS ele FROM points WHERE ele IS NOT NULL GROUP BY 1, 2) SELECT id, k.ele FROM cameras LEFT JOIN k ON qy = CAST(round(lat * 100) AS BIGINT) AND qx = CAST(round(lon * 100) AS BIGINT)"),
     "nearest_places_in_cells": duck("cameras", f", a AS (SELECT id, round({HAV.format(r=6372800, a=Y, b=X, c='lat', d='lon')}, 3) AS metres FROM cameras) SELECT * FROM a WHERE metres <= 1000"),
     "packed_ranks": duck("cameras", "SELECT id, (CAST(len(list_filter(string_split(name, ' '), lambda w: w IN ('red', 'ring', 'small'))) AS BIGINT) << 26) + (CAST(least(size * 200, 4095) AS BIGINT) << 14) + 16383 - least(id * 31 % 20000, 16383) AS rank FROM cameras"),
