@@ -183,7 +183,7 @@ def convex_hulls(points: DataFrame, key: str) -> DataFrame:
 
 
 def ring_in_ring(inner: Column, outer: Column) -> Column:
-    """Whether a ring lies in another: its corners do, and no edges cross. Boxes are compared first."""
+    """Whether a ring lies in another: its corners do, and no edges cross. Boxes are compared first; for rings that touch the answer is not defined."""
     low = lambda r, c: F.array_min(F.transform(r, lambda p: p[c]))
     high = lambda r, c: F.array_max(F.transform(r, lambda p: p[c]))
     box = lit(True)

@@ -142,8 +142,8 @@ def map_ids(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _squares(spark: SparkSession, d: str) -> DataFrame:
-    """Squares with sides from 200 to 2,200 units of 0.00001 degrees."""
-    half = (col("id") % 11 * 100 + 100) / lit(100_000.0)
+    """Squares of eleven sizes, each a little apart by its id, so that no two share a side: whether a ring that touches another lies in it is not defined."""
+    half = (col("id") % 11 * 100 + 100) / lit(100_000.0) + col("id") * lit(1e-9)
     corner = lambda sx, sy: F.struct((col("lon") + half * sx).alias("lon"), (col("lat") + half * sy).alias("lat"))
     return standin(spark, d, "cameras").select("id", "lat", "lon", F.array(corner(-1, -1), corner(1, -1), corner(1, 1), corner(-1, 1), corner(-1, -1)).alias("ring"))
 
@@ -233,8 +233,8 @@ ORACLE_SQL = {
  CASE WHEN driven / litres <= 1000 THEN round(driven / litres, 4) END AS metres_litre, round(level * driven / used, 4) AS metres_left, round(52.0::DOUBLE * level / 100, 4) AS litres_left FROM h"""),
     "sliding_values": duck("points", "SELECT idx, round(avg(speed) OVER w, 6) AS mean, count(speed) OVER w AS n FROM points WINDOW w AS (PARTITION BY track, kind ORDER BY ms RANGE BETWEEN 129600000 PRECEDING AND CURRENT ROW)"),
     "map_ids": "SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN p_partkey * 2 WHEN 1 THEN p_partkey * 2 + 1 ELSE 4398046511104 + p_partkey * 2048 END AS map_id, p_partkey AS osm_id FROM part",
-    "contained_regions": duck("cameras", """, b AS (SELECT id, lat - (id % 11 * 100 + 100) / 100000.0::DOUBLE AS s, lat + (id % 11 * 100 + 100) / 100000.0::DOUBLE AS n, lon - (id % 11 * 100 + 100) / 100000.0::DOUBLE AS w, lon + (id % 11 * 100 + 100) / 100000.0::DOUBLE AS e FROM cameras)
- SELECT a.id AS inner, b.id AS outer FROM b a JOIN b ON a.id <> b.id AND a.s > b.s + 1e-9 AND a.n < b.n - 1e-9 AND a.w > b.w + 1e-9 AND a.e < b.e - 1e-9"""),
+    "contained_regions": duck("cameras", """, b AS (SELECT id, lat - ((id % 11 * 100 + 100) / 100000.0::DOUBLE + id * 1e-9::DOUBLE) AS s, lat + ((id % 11 * 100 + 100) / 100000.0::DOUBLE + id * 1e-9::DOUBLE) AS n, lon - ((id % 11 * 100 + 100) / 100000.0::DOUBLE + id * 1e-9::DOUBLE) AS w, lon + ((id % 11 * 100 + 100) / 100000.0::DOUBLE + id * 1e-9::DOUBLE) AS e FROM cameras)
+ SELECT a.id AS inner, b.id AS outer FROM b a JOIN b ON a.id <> b.id AND a.s > b.s AND a.n < b.n AND a.w > b.w AND a.e < b.e"""),
     "slope_classes": "WITH h AS (" + library.ORACLE_SQL["resampled_heights"] + "), s AS (SELECT round((lead(ele) OVER w - lag(ele) OVER w) * 5.0::DOUBLE, 3) AS p FROM h WINDOW w AS (PARTITION BY track ORDER BY step)) SELECT CASE WHEN p IS NULL THEN NULL WHEN p <= -101 THEN 0 WHEN p > 20 THEN 12 WHEN p <= -20 THEN 1 ELSE CAST(ceil((p + 20) / 4) AS INT) + 1 END AS class, count(*) AS n FROM s GROUP BY 1",
     "organized_by_year": "WITH a AS (SELECT CASE WHEN o_orderkey % 50 > 0 THEN CAST(o_orderdate AS TIMESTAMP) END AS t FROM orders) SELECT coalesce(epoch_us(date_trunc('year', t)::TIMESTAMP) // 1000, 0) AS year, coalesce(epoch_us(date_trunc('month', t)::TIMESTAMP) // 1000, 0) AS month, count(*) AS n FROM a GROUP BY 1, 2",
     "tag_frequencies": duck("cameras", ", t AS (SELECT 'brand' AS key, vendor AS value, kind FROM cameras UNION ALL SELECT 'size', CAST(size % 10 AS VARCHAR), kind FROM cameras) SELECT key, value, count(*) AS n, count(DISTINCT kind) AS kinds FROM t GROUP BY 1, 2"),
