@@ -66,7 +66,11 @@ def link_targets(spark: SparkSession, d: str) -> DataFrame:
 
 
 HOURS = ("Mo-Fr 08:00-18:00; Sa 10:00-14:00", "24/7", "Fr-Su 20:00-02:00", "Sa,Su off; Mo off; We-Fr 9:00-12:00, 13:00-17:00", "by appointment")
-DAY, MINUTE = col("p_partkey") % 7, col("p_partkey") * 37 % 1440
+
+
+def _time() -> tuple[Column, Column]:
+    """Day and minute at which a place is looked at."""
+    return col("p_partkey") % 7, col("p_partkey") * 37 % 1440
 
 
 def _hours() -> Column:
@@ -75,13 +79,13 @@ def _hours() -> Column:
 
 def open_places(spark: SparkSession, d: str) -> DataFrame:
     """Whether a place is open at a time, unknown where its hours do not parse."""
-    return table(spark, d, "part").select("p_partkey", matching.is_open(_hours(), DAY, MINUTE).alias("open"))
+    return table(spark, d, "part").select("p_partkey", matching.is_open(_hours(), *_time()).alias("open"))
 
 
 def conditional_tags(spark: SparkSession, d: str) -> DataFrame:
     """Access of roads, closed to some at the hours that a condition names."""
     condition = F.concat(lit("destination @ (Sa-Su 00:00-24:00); no @ ("), _hours(), lit(")"))
-    return table(spark, d, "part").select("p_partkey", matching.conditional_value(lit("yes"), condition, DAY, MINUTE).alias("access"))
+    return table(spark, d, "part").select("p_partkey", matching.conditional_value(lit("yes"), condition, *_time()).alias("access"))
 
 
 def _vessels(spark: SparkSession, d: str) -> DataFrame:
