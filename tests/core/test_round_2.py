@@ -16,3 +16,11 @@ def test_alerts_judge_the_values_they_report(spark):
     rows = [(i, 0.0, 0.0, 0.0, 10.0, 0.01, m / 60, 0.0, 0.0) for i, m in enumerate((0.9, 1.00003, 1.00008))]
     df = spark.createDataFrame(rows, "idx long, lat double, lon double, cog double, sog double, o_lat double, o_lon double, o_cog double, o_sog double")
     assert sorted(tuple(r) for r in devices.approach_alerts(df, 1.0, 0.5).select("idx", "miles").collect()) == [(0, 0.9), (1, 1.0)]
+
+
+def test_box_has_every_camera(spark, tmp_path):
+    part = spark.range(60_000).select(
+        F.col("id").alias("p_partkey"), F.lit("Brand#1").alias("p_brand"), F.lit("SMALL").alias("p_type"), F.lit("red").alias("p_name"), F.lit(1).alias("p_size")
+    )
+    got = mobility.cameras_in_box(spark, write(part, tmp_path, "part"))
+    assert got.count() == got.where("not truncated").count() > 20_000
