@@ -55,3 +55,9 @@ def test_lengths_are_added_in_order(spark, tenths):
     assert 0 < low < 200
     got = {tuple(r) for r in mobility.organized_by_range(spark, folder).collect()}
     assert got == {("from_100_to_200", 200 - low), (None, 1), ("from_0_to_100", low + 1)}
+
+
+def test_folders_of_lengths_added_in_order(spark, tenths):
+    folder, sums = tenths
+    want = {(k, "click", x >= 100, True) for k, x in sums.items()} | {(-1, "view", None, True), (-2, None, False, None)}
+    assert {tuple(r) for r in mobility.smart_folders(spark, folder).collect()} == want
