@@ -43,7 +43,7 @@ def place_scan(spark: SparkSession, d: str) -> DataFrame:
 
 def gzip_scan(spark: SparkSession, d: str) -> DataFrame:
     df = table(spark, d, "events").select("event_id", "user_id", "event_type")
-    return readers.gzip_lines(spark, _written(df, "lines", "json", compression="gzip"), "event_id long, user_id long, event_type string")
+    return readers.gzip_lines(spark, _written(df, "lines", "json", compression="gzip", maxRecordsPerFile="250000"), "event_id long, user_id long, event_type string")
 
 
 def _xml(df: DataFrame, name: str, row: str, root: str = "osm") -> str:

@@ -6,6 +6,7 @@ import zlib
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -36,38 +37,51 @@ def place_table(spark: SparkSession, path: str, columns: dict[str, str]) -> Data
     return df.select(place, *[F.expr(f"try_cast(`{c}` AS DOUBLE)").alias(n) for n, c in columns.items()])
 
 
-def salvaged(data: bytes) -> list[str]:
-    """Whole lines of a gzip file of several members that may be cut or corrupt anywhere."""
-    out = b""
-    while data:
+#: Compressed bytes of a gzip file that are decoded at once, and those by which what precedes damage is found.
+GZIP_PIECE, GZIP_STEP = 1 << 14, 1 << 8
+
+
+def inflated(data: bytes) -> Iterator[bytes]:
+    """What a gzip file of several members holds, piece by piece, up to where it is cut or corrupt."""
+    view, at = memoryview(data), 0
+    while at < len(view):
         z = zlib.decompressobj(31)
-        try:
-            out += z.decompress(data)
-        except zlib.error:
-            # What came before the damage can still be decoded, piece by piece.
-            z, done = zlib.decompressobj(31), b""
+        while at < len(view) and not z.eof:
+            piece, before = view[at : at + GZIP_PIECE], z.copy()
             try:
-                for i in range(0, len(data), 256):
-                    done += z.decompress(data[i : i + 256])
+                yield z.decompress(piece)
             except zlib.error:
-                pass
-            out += done
-            break
-        data = z.unused_data
-        if not z.eof:
-            break
-    return [x.decode("utf-8", "replace") for x in out[: out.rfind(b"\n") + 1].splitlines()]
+                # What came before the damage can still be decoded.
+                try:
+                    for i in range(0, len(piece), GZIP_STEP):
+                        yield before.decompress(piece[i : i + GZIP_STEP])
+                except zlib.error:
+                    pass
+                return
+            at += len(piece) - len(z.unused_data)
+
+
+def salvaged(data: bytes) -> Iterator[list[str]]:
+    """Whole lines of a gzip file of several members that may be cut or corrupt anywhere; few at a time, never none."""
+    rest = []
+    for piece in inflated(data):
+        end = piece.rfind(b"\n") + 1
+        if end:
+            yield [x.decode("utf-8", "replace") for x in b"".join([*rest, piece[:end]]).splitlines()]
+            rest = []
+        rest.append(piece[end:])
 
 
 def gzip_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """JSON lines of gzip files that may have several members and a cut tail; lines that do not parse drop out."""
+    """JSON lines of gzip files that may be empty, have several members and a cut tail; lines that do not parse drop out."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for data in pdf["content"]:
-                yield pd.DataFrame({"line": salvaged(data)})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for data in batch.column(0):
+                for lines in salvaged(data.as_py()):
+                    yield pa.RecordBatch.from_arrays([pa.array(lines, pa.string())], names=["line"])
 
-    raw = spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, "line string")
+    raw = spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, "line string")
     return raw.select(F.from_json("line", schema, {"mode": "PERMISSIVE"}).alias("r")).where("r is not null").select("r.*")
 
 
