@@ -15,6 +15,9 @@ from fieldglass.plans import mobility, scans
 from fieldglass.sources import readers
 
 
+SF = "/root/testdata/sf0.001"
+
+
 def write(df, folder, name):
     df.write.parquet(f"{folder}/{name}.parquet")
     return str(folder)
@@ -102,3 +105,11 @@ def test_damaged_gzip_keeps_what_comes_before(at):
     got = [x for lines in readers.salvaged(bytes(bad)) for x in lines]
     assert got == want[: want.rfind(b"\n") + 1].decode("utf-8", "replace").splitlines()
     assert at < 10**9 or len(got) == 20_000
+
+
+def broadcasts(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("BroadcastExchange")
+
+
+def test_posted_cameras_of_watched_points_are_not_broadcast(spark):
+    assert broadcasts(mobility.watched_points(spark, SF)) == 0
