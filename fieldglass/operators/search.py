@@ -16,6 +16,9 @@ MAX_TERMS = 6
 # Radii in metres that a search widens through.
 RADII = (500.0, 1000.0, 2000.0, 5000.0, 10_000.0, 20_000.0, 50_000.0, 100_000.0)
 
+# Shares of the radius in which nearest() looks first.
+NEAREST_SHARES = (1 / 16, 1 / 4)
+
 
 def postings(df: DataFrame, key: str, text: str) -> DataFrame:
     """token, key."""
@@ -46,8 +49,8 @@ def ranked_lookup(df: DataFrame, code: str, name: str, needle: str, limit: int =
     return hits.orderBy("rank", name, code).limit(limit)
 
 
-def nearest(points: DataFrame, places: DataFrame, key: list[str], radius_m: float) -> DataFrame:
-    """The nearest place within a radius of each point; ties go to the smaller id. Cells of the radius make it an equi-join."""
+def within(points: DataFrame, places: DataFrame, key: list[str], radius_m: float) -> DataFrame:
+    """key, place, metres of the nearest place within a radius of each point, by cells of the radius; the posted places are shuffled, never broadcast."""
     size = radius_m / geo.METRES_PER_DEGREE
     east = size * 2  # enough up to 60 degrees of latitude
     spots = places.select(F.col("id").alias("place"), F.col("lat").alias("plat"), F.col("lon").alias("plon"))
@@ -55,10 +58,24 @@ def nearest(points: DataFrame, places: DataFrame, key: list[str], radius_m: floa
     spots = spots.select("*", F.explode(F.array(*around)).alias("c")).select("*", "c.cy", "c.cx").drop("c")
     here = points.withColumn("cy", geo.cell(F.col("lat"), size)).withColumn("cx", geo.cell(F.col("lon"), east))
     d = geo.haversine_6372800(F.col("lat"), F.col("lon"), F.col("plat"), F.col("plon"))
-    near = here.join(spots, ["cy", "cx"]).withColumn("metres", d).where(F.col("metres") <= radius_m)
+    near = here.join(spots.hint("merge"), ["cy", "cx"]).withColumn("metres", d).where(F.col("metres") <= radius_m)
     return near.groupBy(*key).agg(F.min(F.struct("metres", "place")).alias("n")).select(*key, "n.place", "n.metres")
 
 
+def nearest(points: DataFrame, places: DataFrame, key: list[str], radius_m: float) -> DataFrame:
+    """The nearest place within a radius of each point; ties go to the smaller id.
+
+    A place found within a smaller radius is the nearest one, so only the points that find none
+    look further; where places are dense, none is compared with all within the radius.
+    """
+    left, found = points.select(*dict.fromkeys([*key, "lat", "lon"])), []
+    for share in NEAREST_SHARES:
+        found.append(stage(within(left, places, key, radius_m * share), "nearest"))
+        done = found[-1].select(*[F.col(k).alias(f"{k}_done") for k in key])
+        left = left.join(done.hint("merge"), reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"{k}_done")) for k in key]), "left_anti")
+    return reduce(DataFrame.unionByName, [*found, within(left, places, key, radius_m)])
+
+
 def widened(places: DataFrame, lat: float, lon: float, radii: tuple[float, ...] = RADII) -> DataFrame:
     """Places within the smallest radius that holds any, nearest first; one pass instead of repeated searches."""
     d = geo.haversine_6372800(F.lit(lat), F.lit(lon), F.col("lat"), F.col("lon"))

@@ -2,6 +2,7 @@
 
 import contextlib
 import gzip
+import math
 import random
 import zlib
 from functools import reduce
@@ -10,7 +11,7 @@ from operator import add
 import pytest
 from pyspark.sql import functions as F
 
-from fieldglass.operators import devices
+from fieldglass.operators import devices, search
 from fieldglass.plans import mobility, scans
 from fieldglass.sources import readers
 
@@ -113,3 +114,24 @@ def broadcasts(df):
 
 def test_posted_cameras_of_watched_points_are_not_broadcast(spark):
     assert broadcasts(mobility.watched_points(spark, SF)) == 0
+
+
+def test_nearest_widens_without_broadcast(spark):
+    rng = random.Random(3)
+    spot = lambda i, spread: (i, 39 + rng.random() * spread, -75 + rng.random() * spread)
+    places, points = [spot(i, 0.01) for i in range(300)], [spot(i, 0.02) for i in range(200)]
+    rows = lambda rows, key: spark.createDataFrame(rows, f"{key} long, lat double, lon double")
+    df = search.nearest(rows([*points, (None, 39.0, -75.0), (None, 39.02, -75.02)], "idx"), rows([*places, (-1, *places[0][1:])], "id"), ["idx"], 300.0)
+
+    def metres(a, b):
+        (y1, x1), (y2, x2) = (map(math.radians, p) for p in (a, b))
+        return 2 * 6372800 * math.asin(math.sqrt(math.sin((y2 - y1) / 2) ** 2 + math.cos(y1) * math.cos(y2) * math.sin((x2 - x1) / 2) ** 2))
+
+    want = {}
+    for i, *at in [*points, (None, 39.0, -75.0), (None, 39.02, -75.02)]:
+        d, place = min((metres(at, p), k) for k, *p in [(-1, *places[0][1:]), *places])
+        if d <= 300 and (i not in want or (d, place) < want[i]):
+            want[i] = (d, place)
+    got = {r.idx: (r.metres, r.place) for r in df.collect()}
+    assert {k: (round(d, 6), p) for k, (d, p) in got.items()} == {k: (round(d, 6), p) for k, (d, p) in want.items()} and len(got) < 201
+    assert df.count() == len(got) and broadcasts(df) == 0
