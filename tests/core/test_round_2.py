@@ -11,8 +11,10 @@ from operator import add
 import pytest
 from pyspark.sql import functions as F
 
-from fieldglass.operators import devices, search
+from fieldglass.functions import geo
+from fieldglass.operators import cameras, devices, search
 from fieldglass.plans import mobility, scans
+from fieldglass.plans.standins import standin
 from fieldglass.sources import readers
 
 
@@ -135,3 +137,29 @@ def test_nearest_widens_without_broadcast(spark):
     got = {r.idx: (r.metres, r.place) for r in df.collect()}
     assert {k: (round(d, 6), p) for k, (d, p) in got.items()} == {k: (round(d, 6), p) for k, (d, p) in want.items()} and len(got) < 201
     assert df.count() == len(got) and broadcasts(df) == 0
+
+
+def test_ways_have_each_wedge_once_without_broadcast(spark):
+    wedges = cameras.cones(standin(spark, SF, "cameras").where("id % 3 = 0"))
+    rng = random.Random(11)
+    spot = lambda: (39 + rng.random() * 0.1, -75.5 + rng.random() * 0.1)
+    ways = [(i, *spot(), *spot()) for i in range(30)] + [(30, 39.05, -75.45, 39.05, -75.45), (31, 39.05, -75.48, 39.05, -75.42)]
+    # The corner of some ways lies in a wedge, so both legs meet it.
+    ways += [(100 + i, r.lat + 2e-5 + 0.01, r.lon, r.lat + 2e-5, r.lon + 0.01) for i, r in enumerate(wedges.orderBy("id", "head").limit(20).collect())]
+    legs = [(w, y1, x1, y2, x1, None, None) for w, y1, x1, y2, x2 in ways] + [(w, y2, x1, y2, x2, y1, x1) for w, y1, x1, y2, x2 in ways]
+    segments = spark.createDataFrame(legs, "way long, y1 double, x1 double, y2 double, x2 double, y0 double, x0 double")
+    df = cameras.crossed_cones(segments, wedges, corner=("x0", "y0"))
+    got = sorted((r.way, r.id, r["head"]) for r in df.collect())
+    # All pairs, by the edges of the rings.
+    rings = wedges.select("id", "head", "ring")
+    edges = F.arrays_zip(F.col("ring").alias("p"), F.slice("ring", 2, 1000).alias("q"))
+    ends = [F.col(c) for c in ("x1", "y1", "x2", "y2")]
+    meets = F.exists(edges, lambda e: F.coalesce(geo.segments_cross(*ends, e["p"]["lon"], e["p"]["lat"], e["q"]["lon"], e["q"]["lat"]), F.lit(False))) | geo.in_ring(ends[0], ends[1], F.col("ring"))
+    each = segments.crossJoin(rings).where(meets).select("way", "id", "head")
+    assert got == sorted(tuple(r) for r in each.distinct().collect()) and each.count() > len(got)
+    assert "BroadcastExchange" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_commutes_do_not_broadcast_by_file_size(spark):
+    plan = mobility.watched_commutes(spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin [o_orderkey" not in plan and "BroadcastHashJoin [cy" not in plan and "SortMergeJoin [o_orderkey" in plan
