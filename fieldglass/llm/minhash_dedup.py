@@ -33,10 +33,14 @@ SHINGLE_WORDS, MIN_PERCENT = 5, 75
 #: With 24 coordinates a pair of similarity 0.75 has fewer than 7 matches with probability 3.9e-7, once in about 2.6 million; such a pair is never tried.
 COORDINATES, MIN_MATCHES = 24, 7
 #: Rounds against one member of each posting before all pairs across components are tried,
-#: earlier if there are no more such pairs than this many per class.
-STAR_ROUNDS, PAIRS_PER_CLASS = 6, 2
-#: Members of a posting beyond which its pairs must share a second posting to meet.
-MAX_MEMBERS = 4096
+#: earlier if there are no more such pairs than this many per class, or if a round found a link for one class in so many only.
+STAR_ROUNDS, PAIRS_PER_CLASS, CLASSES_PER_LINK = 6, 2, 100
+#: Members of a posting beyond which its pairs must share one more posting to meet, up to so many postings.
+MAX_MEMBERS, MAX_SHARED = 1 << 15, 2
+#: Pairs whose bitmaps are compared at once.
+PAIRS_PIECE = 1 << 16
+#: Shingles that are signed at once.
+SIGN_PIECE = 1 << 12
 #: Shingles to expect of a byte of text.
 SHINGLES_PER_BYTE = 1 / 6
 #: 64-bit words of a parity bitmap.
@@ -50,11 +54,17 @@ def shingles(text: bytes | None, width: int = SHINGLE_WORDS) -> np.ndarray:
     return np.unique(windows(words, n, n)) if n else np.empty(0, np.uint64)
 
 
+def signature(found: np.ndarray) -> list[int]:
+    """The least hash of the set in each coordinate, 63 bits of it."""
+    factors, shifts = multipliers(COORDINATES, 8)[:, None], multipliers(COORDINATES, 9)[:, None]
+    least = [mix(found[i : i + SIGN_PIECE] * factors + shifts).min(axis=1) for i in range(0, len(found), SIGN_PIECE)]
+    return (np.min(least, axis=0) >> np.uint64(1)).tolist()
+
+
 def signatures(docs: DataFrame, width: int = SHINGLE_WORDS) -> DataFrame:
     """doc_id, text_hash, n_shingles, node (digest of the set, null if empty) and signature for each row."""
     short_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id"), F.xxhash64("text").alias("text_hash"), F.col("text").cast("binary").alias("text_"))
-    factors, shifts = multipliers(COORDINATES, 8), multipliers(COORDINATES, 9)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -63,7 +73,7 @@ def signatures(docs: DataFrame, width: int = SHINGLE_WORDS) -> DataFrame:
                 found = shingles(text, width)
                 sizes.append(len(found))
                 keys.append(xxhash.xxh3_128_digest(found.tobytes()) if len(found) else None)
-                signs.append([int(mix(found * f + s).min() >> np.uint64(1)) for f, s in zip(factors, shifts, strict=True)] if len(found) else None)
+                signs.append(signature(found) if len(found) else None)
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[:2], pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(signs, pa.list_(pa.int64()))],
                 names=["doc_id", "text_hash", "n_shingles", "node", "signature"],
@@ -74,18 +84,19 @@ def signatures(docs: DataFrame, width: int = SHINGLE_WORDS) -> DataFrame:
 
 
 def postings(classes: DataFrame) -> DataFrame:
-    """token, node, first: for each class its rarest postings, without those that no other class has.
+    """token, node, k, level: for each class its rarest postings, without those that no other class has.
 
-    first: the prefix in which pairs of enough matches share a posting; with the one posting
-    that follows it, they share two.
+    k: their order, from the rarest. level: pairs of enough matches share one posting of level
+    1, two of levels 1 and 2, and so on; of those that they share, the i-th rarest is of level
+    i at most for both.
     """
     tokens = classes.select("node", F.posexplode("signature").alias("i", "v")).select("node", F.xxhash64("i", "v").alias("token"))
     often = stage(tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "often")
     shared = join_hot(tokens, often, ["token"], "n")
     order = Window.partitionBy("node").orderBy("n", "token")
     ranked = shared.withColumn("k", F.row_number().over(order)).withColumn("of", F.count(F.lit(1)).over(Window.partitionBy("node")))
-    spare = F.col("k") - F.col("of") + MIN_MATCHES - 1
-    return ranked.where(spare <= 1).select("token", "node", (spare <= 0).alias("first"))
+    level = F.greatest(F.col("k") - F.col("of") + MIN_MATCHES, F.lit(1))
+    return ranked.where(level <= MAX_SHARED).select("token", "node", "k", level.alias("level"))
 
 
 def shared_shingles(texts: DataFrame, width: int) -> tuple[DataFrame, Broadcast]:
@@ -147,7 +158,7 @@ def classified(docs: DataFrame, width: int = SHINGLE_WORDS, percent: int = MIN_P
     )
     classes = stage(classes, "classes")
     posted = stage(postings(classes.select("node", "signature")), "postings")
-    involved = posted.where("first").select("node").distinct().join(classes.select("node", "rep"), "node")
+    involved = posted.where("level = 1").select("node").distinct().join(classes.select("node", "rep"), "node")
     involved = involved.select("node", F.col("rep.doc_id").alias("rep_id"), F.col("rep.text_hash").alias("rep_hash"))
     whole = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.col("text").cast("binary").alias("text"))
     texts = whole.join(involved, F.col("doc_id").eqNullSafe(F.col("rep_id")) & (F.col("text_hash") == F.col("rep_hash")))
@@ -192,63 +203,143 @@ def may_link(other: str, percent: int) -> Column:
     return (100 * both >= percent * (sizes_of_both - both)) & (collisions >= MIN_MATCHES) & ((100 + percent) * differ <= (100 - percent) * sizes_of_both)
 
 
+def linkable(n: np.ndarray, common: np.ndarray, signature: np.ndarray, parity: np.ndarray, component: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """may_link between all members of a group at once: the places (i < j) of the pairs of different components that pass."""
+    size, rows = len(n), max(1, PAIRS_PIECE // len(n))
+    parity = parity.view(np.uint64)  # of negative numbers, the bits of the absolute value would be counted
+    found = []
+    for at in range(0, size, rows):
+        head = slice(at, at + rows)
+        differ = np.bitwise_count(parity[head, None] ^ parity[None, at:]).sum(axis=2, dtype=np.int64)
+        sizes_of_both = n[head, None] + n[None, at:]
+        i, j = np.nonzero(((100 + percent) * differ <= (100 - percent) * sizes_of_both) & (component[head, None] != component[None, at:]))
+        i, j = i[i < j] + at, j[i < j] + at
+        both = np.minimum(common[i], common[j])
+        i, j = (x[100 * both >= percent * (n[i] + n[j] - both)] for x in (i, j))
+        enough = (signature[i] == signature[j]).sum(axis=1) >= MIN_MATCHES
+        found.append((i[enough], j[enough]))
+    return np.concatenate([i for i, _ in found]), np.concatenate([j for _, j in found])
+
+
 def across(members: DataFrame, keys: list[str], percent: int) -> DataFrame:
     """a, b: the pairs of members of different components that share the keys and may be linked; members: keys, MEMBER, component."""
-    sizes_in = members.groupBy(*keys, "component").agg(F.count(F.lit(1)).alias("k"))
-    largest = sizes_in.groupBy(*keys).agg(F.max_by("component", F.struct("k", "component")).alias("largest"), F.count(F.lit(1)).alias("parts")).where("parts > 1").drop("parts")
-    # Of any two components one is not the largest, so its members meet all others.
-    outside = members.join(largest, keys).where("component <> largest")
-    other = members.select(*keys, *[F.col(c).alias(f"o_{c}") for c in (*MEMBER[1:], "component")])
-    pairs = outside.join(other, keys).where((F.col("component") != F.col("o_component")) & may_link("o_", percent))
-    return pairs.select(F.least("node", "o_node").alias("a"), F.greatest("node", "o_node").alias("b"))
+
+    def pairs(batch: pa.Table, starts: list[int]) -> pa.RecordBatch:
+        batch = batch.combine_chunks()
+        node = batch.column("node").to_pylist()
+        n, common = (batch.column(c).to_numpy() for c in ("n", "common"))
+        signature, parity = (np.stack(batch.column(c).to_numpy()) for c in ("signature", "parity"))
+        component = batch.column("component").combine_chunks().dictionary_encode().indices.to_numpy()
+        a, b = [], []
+        for lo, hi in zip(starts, [*starts[1:], len(node)], strict=True):
+            if hi - lo > 1:
+                own = slice(lo, hi)
+                for i, j in zip(*(x.tolist() for x in linkable(n[own], common[own], signature[own], parity[own], component[own], percent)), strict=True):
+                    x, y = sorted((node[lo + i], node[lo + j]))
+                    a.append(x)
+                    b.append(y)
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # The group that may go on in the next batch waits for it.
+        waiting: list[pa.RecordBatch] = []
+        last = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            key = np.stack([batch.column(k).to_numpy() for k in keys], axis=1)
+            starts = (np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1).tolist()
+            if last is None or (key[0] != last).any():
+                starts = [0, *starts]
+            last = key[-1]
+            if not starts:
+                waiting.append(batch)
+                continue
+            if starts[0]:
+                waiting.append(batch.slice(0, starts[0]))
+            if waiting:
+                yield pairs(pa.Table.from_batches(waiting), [0])
+            if len(starts) > 1:
+                yield pairs(pa.Table.from_batches([batch.slice(starts[0], starts[-1] - starts[0])]), [x - starts[0] for x in starts[:-1]])
+            waiting = [batch.slice(starts[-1])]
+        if waiting:
+            yield pairs(pa.Table.from_batches(waiting), [0])
+
+    dealt = members.select(*keys, *MEMBER[1:], "component").repartition(*[F.col(k) for k in keys]).sortWithinPartitions(*keys)
+    return dealt.mapInArrow(run, "a binary, b binary")
+
+
+def met(members: DataFrame, posted: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
+    """a, b: all pairs of members (token, k, node, component) of different components that may be linked.
+
+    A pair of enough matches meets under the rarest posting that it shares. If that one has
+    too many members, it meets under the two rarest, and so on; under the last, all of them meet.
+    """
+    keys, found = ["token"], []
+    for level in range(1, MAX_SHARED + 1):
+        group = members.groupBy(*keys).agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("members"))
+        group = stage(group.where("low <> high").drop("low", "high"), "groups")
+        members = stage(join_hot(members, group, keys, "members"), "grouped")
+        crowded = F.col("members") > MAX_MEMBERS if level < MAX_SHARED else F.lit(False)
+        found.append(across(members.where(~crowded).join(sizes, "node"), keys, percent))
+        crowd = members.where(crowded)
+        if level == MAX_SHARED or crowd.isEmpty():
+            break
+        more = posted.where(F.col("level") <= level + 1).select("node", F.col("token").alias(f"token_{level}"), F.col("k").alias("next"))
+        members = crowd.drop("members").join(more, "node").where("next > k").drop("k").withColumnRenamed("next", "k")
+        keys = [*keys, f"token_{level}"]
+    out = found[0]
+    for f in found[1:]:
+        out = out.union(f)
+    return out.distinct()
 
 
 def connect(posted: DataFrame, sizes: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
     """node, component for all nodes with a link.
 
     Star rounds pair each member of a posting with one member of another component. When few
-    pairs across components are left, or after STAR_ROUNDS, all of them are tried: no pair
-    that shares enough postings stays untried unless it is connected already. A posting whose
+    pairs across components are left, or a round found few links, or after STAR_ROUNDS, all
+    of them are tried: no pair that shares enough postings stays untried unless it is
+    connected already. A posting whose
     members are all connected takes no part in later rounds.
     """
     spark = posted.sparkSession
     labels = spark.createDataFrame([], "node binary, component binary")
     tested = spark.createDataFrame([], "a binary, b binary")
     total = sizes.count()
-    members = stage(posted.where("first").join(sizes, "node").select(*MEMBER), "members")
+    members = stage(posted.where("level = 1").join(sizes, "node").select(*MEMBER, "k"), "members")
+    few = False
     for turn in range(STAR_ROUNDS + 1):
-        now = stage(members.select(*MEMBER).join(labels, "node", "left").withColumn("component", F.coalesce("component", "node")), "now")
+        now = stage(members.select(*MEMBER, "k").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node")), "now")
         unstage(members)
-        by_token = now.groupBy("token").agg(
-            # A member with few shingles of its own is like most others.
-            F.min_by(F.struct("node", "component", "n", "common", "signature", "parity"), F.xxhash64("node", F.lit(turn)) if turn > 1 else F.struct(F.col("n") - F.col("common"), "node")).alias("c"),
-            F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("members"),
-        ).where("low <> high").drop("low", "high")
-        by_token = stage(by_token, "centres")
-        members = stage(join_hot(now, by_token, ["token"], "members"), "members")
-        unstage(now, by_token)
-        sizes_in = members.groupBy("token", "component").agg(F.count(F.lit(1)).alias("k"))
-        sizes_in = sizes_in.groupBy("token").agg(F.sum("k").alias("k"), F.sum(F.col("k") * F.col("k")).alias("kk"))
-        pairs_left = sizes_in.agg(F.sum((F.col("k") * F.col("k") - F.col("kk")) / 2)).first()[0]
+        sizes_in = now.groupBy("token", "component").agg(F.count(F.lit(1)).alias("c"))
+        sizes_in = sizes_in.groupBy("token").agg(F.sum("c").alias("c"), F.sum(F.col("c") * F.col("c")).alias("cc"))
+        pairs_left = sizes_in.agg(F.sum((F.col("c").cast("double") * F.col("c") - F.col("cc")) / 2)).first()[0]
         if not pairs_left:
             return labels
-        last = (turn > 0 and pairs_left <= PAIRS_PER_CLASS * total) or turn == STAR_ROUNDS
+        last = few or (turn > 0 and pairs_left <= PAIRS_PER_CLASS * total) or turn == STAR_ROUNDS
         if last:
-            pairs = across(members.where(F.col("members") <= MAX_MEMBERS), ["token"], percent)
-            crowded = members.where(F.col("members") > MAX_MEMBERS)
-            second = posted.select("node", F.col("token").alias("second")).join(crowded, "node").where("second <> token")
-            # Both of a pair of postings may be crowded; the pair is met under either order.
-            pairs = pairs.union(across(second, ["token", "second"], percent)).distinct()
+            pairs = met(now.select("token", "k", "node", "component"), posted, sizes, percent)
         else:
+            by_token = now.groupBy("token").agg(
+                # A member with few shingles of its own is like most others.
+                F.min_by(F.struct("node", "component", "n", "common", "signature", "parity"), F.xxhash64("node", F.lit(turn)) if turn > 1 else F.struct(F.col("n") - F.col("common"), "node")).alias("c"),
+                F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("members"),
+            ).where("low <> high").drop("low", "high")
+            by_token = stage(by_token, "centres")
+            members = stage(join_hot(now, by_token, ["token"], "members"), "members")
+            unstage(now, by_token)
             pairs = members.where((F.col("component") != F.col("c.component")) & may_link("c.", percent)).groupBy(F.col("node").alias("a"), F.col("c.node").alias("b")).count()
             if not turn:  # the centre it collides with most often
                 pairs = pairs.groupBy("a").agg(F.max_by("b", F.struct("count", "b")).alias("b"))
             pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         pairs = stage(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
         new = stage(confirmed(pairs, texts, width, percent), "links")
-        if not new.isEmpty():
+        links = new.count()
+        if links:
             labels = joined_labels(labels, new)
         if last:
             return labels
+        few = CLASSES_PER_LINK * links <= total
         tested = tested.unionByName(pairs)
     raise AssertionError("unreachable")

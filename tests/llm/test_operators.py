@@ -2,9 +2,11 @@
 
 import base64
 import hashlib
+import itertools
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
 import xxhash
 
@@ -331,3 +333,57 @@ def test_parity_bitmaps_bound_the_difference(spark):
         for b, y in bits.items():
             differ = sum((p ^ q).bit_count() for p, q in zip(x, y, strict=True))
             assert differ <= len(sets[a] ^ sets[b]) and (differ - len(sets[a] ^ sets[b])) % 2 == 0
+
+
+@pytest.mark.parametrize("crowded", [minhash_dedup.MAX_MEMBERS, 8])
+def test_near_duplicates_of_large_unlike_families(spark, monkeypatch, crowded):
+    base = [f"b{i}" for i in range(200)]
+    texts = []
+    for k in range(48):
+        out = list(base)
+        for i in RNG.sample(range(len(out)), 2 if k % 12 == 0 else 8):
+            out[i] = f"z{RNG.random()}"
+        texts.append(out)
+    sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in texts]
+    of = list(range(len(sets)))
+    for _ in sets:
+        for a, b in itertools.combinations(range(len(sets)), 2):
+            both = len(sets[a] & sets[b])
+            if 100 * both >= 75 * (len(sets[a]) + len(sets[b]) - both):
+                of[a] = of[b] = min(of[a], of[b])
+    rounds = []
+    monkeypatch.setattr(minhash_dedup, "MAX_MEMBERS", crowded)
+    monkeypatch.setattr(minhash_dedup, "stage", lambda df, name, f=minhash_dedup.stage: (rounds.append(name), f(df, name))[1])
+    got = minhash_dedup.near_duplicates(spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")).collect()
+    assert {r.doc_id: r.component_id for r in got} == dict(enumerate(of))
+    # Rounds against one member each that find next to nothing are not repeated.
+    assert rounds.count("centres") < minhash_dedup.STAR_ROUNDS
+
+
+def test_pairs_of_a_posting_at_once(spark):
+    rng = np.random.Generator(np.random.PCG64(3))
+    size = 600
+    family = rng.integers(-(2**63), 2**63, (4, minhash_dedup.PARITY_WORDS))
+    parity = family[np.arange(size) % 4] ^ (np.int64(1) << rng.integers(0, 64, (size, minhash_dedup.PARITY_WORDS)))
+    signature = rng.integers(0, 3, (size, minhash_dedup.COORDINATES))
+    n = rng.integers(80, 160, size)
+    common = n - rng.integers(0, 15, size)
+    component = np.array([f"c{x}" for x in rng.integers(0, 200, size)])
+    group = rng.choice([1, 2, 2, 3, 3, 3, 3, 3, 3, 3], size)
+    expected = set()
+    for i, j in itertools.combinations(range(size), 2):
+        both, sizes = min(common[i], common[j]), n[i] + n[j]
+        differ = sum((int(x) % 2**64 ^ int(y) % 2**64).bit_count() for x, y in zip(parity[i], parity[j], strict=True))
+        if group[i] == group[j] and component[i] != component[j] and 100 * both >= 75 * (sizes - both) and (signature[i] == signature[j]).sum() >= minhash_dedup.MIN_MATCHES and 175 * differ <= 25 * sizes:
+            expected.add((i, j))
+    rows = [(int(group[i]), 7, i.to_bytes(2, "big"), int(n[i]), int(common[i]), signature[i].tolist(), parity[i].tolist(), component[i].encode()) for i in range(size)]
+    members = spark.createDataFrame(rows, "token long, second long, node binary, n long, common long, signature array<long>, parity array<long>, component binary")
+    common_batches = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        for batch in ("1", "50", "10000"):
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+            for keys in (["token"], ["token", "second"]):
+                got = [(int.from_bytes(r.a, "big"), int.from_bytes(r.b, "big")) for r in minhash_dedup.across(members, keys, 75).collect()]
+                assert len(got) == len(expected) > 100 and set(got) == expected
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", common_batches)
