@@ -335,8 +335,8 @@ def test_parity_bitmaps_bound_the_difference(spark):
             assert differ <= len(sets[a] ^ sets[b]) and (differ - len(sets[a] ^ sets[b])) % 2 == 0
 
 
-@pytest.mark.parametrize("crowded", [minhash_dedup.MAX_MEMBERS, 8])
-def test_near_duplicates_of_large_unlike_families(spark, monkeypatch, crowded):
+def unlike_family():
+    """Texts of which few reach the similarity though all collide often, and the component of each."""
     base = [f"b{i}" for i in range(200)]
     texts = []
     for k in range(48):
@@ -351,15 +351,32 @@ def test_near_duplicates_of_large_unlike_families(spark, monkeypatch, crowded):
             both = len(sets[a] & sets[b])
             if 100 * both >= 75 * (len(sets[a]) + len(sets[b]) - both):
                 of[a] = of[b] = min(of[a], of[b])
+    return [" ".join(t) for t in texts], of
+
+
+@pytest.mark.parametrize("crowded", [minhash_dedup.MAX_MEMBERS, 8])
+def test_near_duplicates_of_large_unlike_families(spark, monkeypatch, crowded):
+    texts, of = unlike_family()
     rounds = []
     monkeypatch.setattr(minhash_dedup, "MAX_MEMBERS", crowded)
     monkeypatch.setattr(minhash_dedup, "stage", lambda df, name, f=minhash_dedup.stage: (rounds.append(name), f(df, name))[1])
-    got = minhash_dedup.near_duplicates(spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")).collect()
+    got = minhash_dedup.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
     assert {r.doc_id: r.component_id for r in got} == dict(enumerate(of))
     # Rounds against one member each that find next to nothing are not repeated.
     assert rounds.count("centres") < minhash_dedup.STAR_ROUNDS
 
 
+def test_pipeline_near_duplicates_end_fruitless_rounds(spark, monkeypatch):
+    import corpus_pipeline
+
+    texts, of = unlike_family()
+    rounds = []
+    monkeypatch.setattr(minhash_dedup, "stage", lambda df, name, f=minhash_dedup.stage: (rounds.append(name), f(df, name))[1])
+    got = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "").collect()
+    assert {(r.doc_id, r.text) for r in got} == {(i, texts[i]) for i in set(of)} and len(got) == len(set(of))
+    assert rounds.count("centres") < minhash_dedup.STAR_ROUNDS
+
+
 def test_pairs_of_a_posting_at_once(spark):
     rng = np.random.Generator(np.random.PCG64(3))
     size = 600
