@@ -294,6 +294,17 @@ def met(members: DataFrame, posted: DataFrame, sizes: DataFrame, percent: int) -
     return out.distinct()
 
 
+def starred(members: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
+    """a, b, count: the members (node, component) that may be linked with a centre (c: node, component) of another component, and how many postings they share with it.
+
+    Each pair gets its signatures and bitmaps once, however many postings it meets in.
+    """
+    pairs = members.where(F.col("component") != F.col("c.component")).groupBy(F.col("node").alias("a"), F.col("c.node").alias("b")).count()
+    rest = sizes.columns[1:]
+    pairs = pairs.join(sizes.withColumnRenamed("node", "a"), "a").join(sizes.select(F.col("node").alias("b"), F.struct(*rest).alias("c")), "b")
+    return pairs.where(may_link("c.", percent)).select("a", "b", "count")
+
+
 def connect(posted: DataFrame, sizes: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
     """node, component for all nodes with a link.
 
@@ -301,16 +312,18 @@ def connect(posted: DataFrame, sizes: DataFrame, texts: DataFrame, width: int, p
     pairs across components are left, or a round found few links, or after STAR_ROUNDS, all
     of them are tried: no pair that shares enough postings stays untried unless it is
     connected already. A posting whose
-    members are all connected takes no part in later rounds.
+    members are all connected takes no part in later rounds. The rows of a round hold no
+    signatures.
     """
     spark = posted.sparkSession
     labels = spark.createDataFrame([], "node binary, component binary")
     tested = spark.createDataFrame([], "a binary, b binary")
     total = sizes.count()
-    members = stage(posted.where("level = 1").join(sizes, "node").select(*MEMBER, "k"), "members")
+    own = sizes.select("node", (F.col("n") - F.col("common")).alias("own"))
+    members = stage(posted.where("level = 1").join(own, "node").select("token", "node", "k", "own"), "members")
     few = False
     for turn in range(STAR_ROUNDS + 1):
-        now = stage(members.select(*MEMBER, "k").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node")), "now")
+        now = stage(members.select("token", "node", "k", "own").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node")), "now")
         unstage(members)
         sizes_in = now.groupBy("token", "component").agg(F.count(F.lit(1)).alias("c"))
         sizes_in = sizes_in.groupBy("token").agg(F.sum("c").alias("c"), F.sum(F.col("c") * F.col("c")).alias("cc"))
@@ -323,13 +336,13 @@ def connect(posted: DataFrame, sizes: DataFrame, texts: DataFrame, width: int, p
         else:
             by_token = now.groupBy("token").agg(
                 # A member with few shingles of its own is like most others.
-                F.min_by(F.struct("node", "component", "n", "common", "signature", "parity"), F.xxhash64("node", F.lit(turn)) if turn > 1 else F.struct(F.col("n") - F.col("common"), "node")).alias("c"),
+                F.min_by(F.struct("node", "component"), F.xxhash64("node", F.lit(turn)) if turn > 1 else F.struct("own", "node")).alias("c"),
                 F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("members"),
             ).where("low <> high").drop("low", "high")
             by_token = stage(by_token, "centres")
             members = stage(join_hot(now, by_token, ["token"], "members"), "members")
             unstage(now, by_token)
-            pairs = members.where((F.col("component") != F.col("c.component")) & may_link("c.", percent)).groupBy(F.col("node").alias("a"), F.col("c.node").alias("b")).count()
+            pairs = starred(members, sizes, percent)
             if not turn:  # the centre it collides with most often
                 pairs = pairs.groupBy("a").agg(F.max_by("b", F.struct("count", "b")).alias("b"))
             pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()

@@ -4,6 +4,7 @@ import base64
 import hashlib
 import itertools
 import random
+import re
 from collections import Counter
 
 import numpy as np
@@ -377,6 +378,51 @@ def test_pipeline_near_duplicates_end_fruitless_rounds(spark, monkeypatch):
     assert rounds.count("centres") < minhash_dedup.STAR_ROUNDS
 
 
+def test_pipeline_near_duplicates_carry_light_rows_and_read_texts_once(spark, monkeypatch, tmp_path):
+    import corpus_pipeline
+
+    texts, of = unlike_family()
+    rows = list(enumerate(texts)) + [(900, ""), (901, None), (None, " ")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/once")
+    spark.createDataFrame([*rows, *rows], "doc_id long, text string").write.parquet(f"{tmp_path}/twice")
+    carried = []
+    monkeypatch.setattr(minhash_dedup, "stage", lambda df, name, f=minhash_dedup.stage: (carried.append((name, df.schema.simpleString())), f(df, name))[1])
+    docs = spark.read.parquet(f"{tmp_path}/once")
+    out = corpus_pipeline.near_duplicates(spark, docs, "")
+    want = Counter({(i, texts[i]): 1 for i in set(of)}) + Counter(rows[len(texts) :])
+    assert Counter((r.doc_id, r.text) for r in out.collect()) == want
+    rounds = [columns for name, columns in carried if name in ("members", "now", "centres")]
+    assert rounds and not any("signature" in columns or "parity" in columns for columns in rounds)
+    # Scans of the texts in the plan of the result: one, if no row that stays is repeated.
+    assert len(re.findall(r"Relation \[doc_id#\d+L,text#\d+\]", out._jdf.queryExecution().optimizedPlan().toString())) == 1
+    # Repeated rows are copies; those without words all stay.
+    twice = corpus_pipeline.near_duplicates(spark, spark.read.parquet(f"{tmp_path}/twice"), "")
+    assert Counter((r.doc_id, r.text) for r in twice.collect()) == want + Counter(rows[len(texts) :])
+
+
+def test_blocks_of_a_sketch_are_merged_at_once(spark, monkeypatch):
+    from fieldglass.llm import sketch
+
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "24")
+    try:
+        values = np.random.Generator(np.random.PCG64(5)).integers(0, 2**63, 5000, dtype=np.uint64)
+
+        def partials(batches):
+            for _ in batches:
+                yield from sketch.partial([values, values[:1000]], 22)
+
+        spark.sparkContext.setJobGroup("blocks", "")
+        bits = np.frombuffer(sketch.repeated_bits(spark.range(1).mapInArrow(partials, sketch.SCHEMA), 22), np.uint8)
+        jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("blocks"))
+        assert sketch.maybe_repeated(values[:1000], bits, 22).all() and sketch.maybe_repeated(values[1000:], bits, 22).mean() < 0.05
+        assert 0 < jobs < 24
+    finally:
+        spark.sparkContext._jsc.clearJobGroup()
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
 def test_pairs_of_a_posting_at_once(spark):
     rng = np.random.Generator(np.random.PCG64(3))
     size = 600
